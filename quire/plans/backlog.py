@@ -1,4 +1,8 @@
 """The registered queries of the document operators and their SQL."""
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from quire.plans import text_queries
+
+_MODULES = (text_queries,)
+
+QUERIES = {k: v for m in _MODULES for k, v in m.QUERIES.items()}
+ORACLES = {k: v for m in _MODULES for k, v in m.ORACLES.items()}
