@@ -7,6 +7,7 @@ from functools import reduce
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 BLANKS = " \t\n\r"
 #: Controls other than tab, line feed and carriage return.
@@ -64,7 +65,7 @@ def term_key(c: Column) -> Column:
     return F.lower(strip(rewrite(F.translate(c, "‘’“”", "''\"\""), (r"([a-z])([A-Z0-9])", "$1 $2"), (r"[ \t\n]+", " "), (r"[.,;:!?]+$", ""))))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def nfkc(s: pd.Series) -> pd.Series:
     """Compatibility normalisation, for which there is no built-in."""
     return s.str.normalize("NFKC")

@@ -12,6 +12,8 @@ import re
 from collections.abc import Iterable
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 #: Pieces that a worker remembers before it keeps only those of its last batch (about 200 bytes each),
 #: and the longest remembered.
@@ -39,11 +41,12 @@ class Pieces:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.words = words
-        #: Where special tokens are known, one of them parts pieces that are encoded in one call.
-        self.cutter = Tokenizer.from_file(path)
-        self.between = "<|endoftext|>"
-        self.between_id = self.cutter.token_to_id(self.between)
         self.dtype = np.dtype("<u2") if self.tokenizer.get_vocab_size() <= 1 << 16 else np.dtype("<u4")
+        #: Ids that end a word, or that begin with a space.
+        self.marks = np.zeros(self.tokenizer.get_vocab_size(), bool)
+        for token, i in self.tokenizer.get_vocab().items():
+            self.marks[i] = token.endswith("</w>") if words else token.startswith("\u0120")
+        self.line_id = self.tokenizer.token_to_id("\u010a")
         self.known: dict = {}
 
     def _split(self, text: str) -> list:
@@ -63,15 +66,35 @@ class Pieces:
         return out
 
     def _encode(self, pieces: list) -> list[bytes]:
-        """Ids of each piece: one call over all of them, cut where a special token stands between two."""
+        """Ids of each piece. Pieces of one kind are encoded as one text, in which the ids tell where each begins."""
         texts = [p.decode("utf-8", "replace") for p in pieces] if self.words else pieces
-        joined = self.between.join(texts)
-        if joined.count("<|") != max(0, len(texts) - 1):  # a piece looks like a special token
-            return [np.array(e.ids, self.dtype).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-        ids = np.array(self.cutter.encode_batch_fast([joined], add_special_tokens=False)[0].ids, self.dtype)
-        cuts = np.flatnonzero(ids == self.between_id) * self.dtype.itemsize
-        raw, width = ids.tobytes(), self.dtype.itemsize
-        return [raw[a:b] for a, b in zip([0, *(cuts + width).tolist()], [*cuts.tolist(), len(raw)], strict=True)]
+        out: list = [b""] * len(pieces)
+        if self.words:
+            kinds = [" " if t.isalpha() else "" for t in texts]
+        else:
+            kinds = [" " if t[0] == " " and len(t) > 1 else "\n" if t != "\n" else "" for t in texts]
+        for kind in (" ", "\n", ""):
+            some = [i for i, k in enumerate(kinds) if k == kind]
+            if some:
+                for i, ids in zip(some, self._together([texts[i] for i in some], kind), strict=True):
+                    out[i] = ids
+        return out
+
+    def _together(self, texts: list[str], kind: str) -> list[bytes]:
+        joined = (" " if self.words else "" if kind == " " else "\n").join(texts)
+        if kind and len(joined.split()) == len(texts) and joined.count("\n") == (len(texts) - 1) * (kind == "\n"):
+            ids = np.array(self.tokenizer.encode_batch_fast([joined], add_special_tokens=False)[0].ids, self.dtype)
+            raw, width = ids.tobytes(), self.dtype.itemsize
+            if kind == "\n":  # each line feed is an id of its own, which belongs to no piece
+                cuts = np.flatnonzero(ids == self.line_id)
+                if len(cuts) == len(texts) - 1:
+                    return [raw[a:b] for a, b in zip([0, *((cuts + 1) * width).tolist()], [*(cuts * width).tolist(), len(raw)], strict=True)]
+            else:  # an id with a space begins a piece; with word ends, such an id ends it
+                cuts = np.flatnonzero(self.marks[ids]) + self.words
+                if len(cuts) == len(texts):
+                    bounds = [0, *(cuts * width).tolist()] if self.words else [*(cuts * width).tolist(), len(raw)]
+                    return [raw[a:b] for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
+        return [np.array(e.ids, self.dtype).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def _stem(self, piece):
         """The piece without a last comma or full stop after a plain letter, where both tokenizers cut; else None."""
@@ -83,11 +106,18 @@ class Pieces:
     def _learn(self, new: list) -> dict:
         """Ids of pieces that aren't known; those worth it are remembered."""
         known, got, ended = self.known, {}, []
-        todo: dict = dict.fromkeys(p for p in new if self._stem(p) is None)
+        todo: dict = {}
         for p in new:
-            if (stem := self._stem(p)) is not None:
-                ended.append((p, stem, p[-1:]))
-                todo.update(dict.fromkeys(x for x in (stem, p[-1:]) if x not in known))
+            stem = self._stem(p)
+            if stem is None:
+                todo[p] = None
+                continue
+            last = p[-1:]
+            ended.append((p, stem, last))
+            if stem not in known:
+                todo[stem] = None
+            if last not in known:
+                todo[last] = None
         names = list(todo)
         for at in range(0, len(names), 20_000):
             got.update(zip(names[at : at + 20_000], self._encode(names[at : at + 20_000]), strict=True))
@@ -95,23 +125,68 @@ class Pieces:
             got[p] = (got.get(stem) or known.get(stem) or b"") + (got.get(last) or known[last])
         return got
 
-    def encode(self, texts: Iterable[str | None], at_once: int = 1024) -> list[bytes]:
+    def encode(self, texts: Iterable[str | None], at_once: int = 2048) -> list[bytes]:
         """Ids of each text (null: none)."""
-        texts, out = list(texts), []
+        texts, out = [t or "" for t in texts], []
         for at in range(0, len(texts), at_once):
-            split = [self._split(t or "") for t in texts[at : at + at_once]]
-            met = set().union(*split)
-            new = [p for p in met if p not in self.known]
-            if len(self.known) + len(new) > MEMORY:
-                self.known = {p: self.known[p] for p in met if p in self.known}
-            got = self._learn(new)
-            long = {p: got.pop(p) for p in [p for p in got if len(p) > LONGEST]}
-            self.known.update(got)
-            find = (lambda p: long.get(p) or self.known[p]) if long else self.known.__getitem__  # noqa: B023
-            for x in split:
-                out.append(b"".join(map(find, x)))
+            some = texts[at : at + at_once]
+            plain = [self.words or self._plain(t) for t in some]
+            fast = iter(self._encode_plain([t for t, ok in zip(some, plain, strict=True) if ok]))
+            slow = iter(self._encode_split([t for t, ok in zip(some, plain, strict=True) if not ok]))
+            out.extend(next(fast) if ok else next(slow) for ok in plain)
         return out
 
+    def _encode_split(self, texts: list[str]) -> list[bytes]:
+        split = [self._split(t) for t in texts]
+        found = self._ids(list(set().union(*split)))
+        return [b"".join([found[p] for p in x]) for x in split]
+
+    def _ids(self, pieces: list) -> dict:
+        """Ids of distinct pieces, from memory or learned; a memory that is full keeps only these."""
+        known = self.known
+        new = [p for p in pieces if p not in known]
+        if len(known) + len(new) > MEMORY:
+            self.known = known = {p: known[p] for p in pieces if p in known}
+        got = self._learn(new)
+        known.update(got)
+        found = {p: known[p] for p in pieces}
+        for p in got:
+            if len(p) > LONGEST:
+                del known[p]
+        return found
+
+    @staticmethod
+    def _plain(text: str) -> bool:
+        """No white space at the ends or next to white space, and no NUL, which marks a line's first piece below."""
+        return text.strip() == text and not _PLAIN.search(text) and "\0" not in text
+
+    def _encode_plain(self, texts: list[str]) -> list[bytes]:
+        """Texts are cut and their distinct pieces found by Arrow; ids are then laid out by numpy."""
+        if not texts:
+            return []
+        if self.words:
+            lists = pc.ascii_split_whitespace(pc.ascii_lower(pa.array(texts, pa.large_string())))
+        else:
+            lists = pc.split_pattern(pa.array(["\0" + t.replace("\n", " \n \0") for t in texts], pa.large_string()), " ")
+        coded = lists.flatten().dictionary_encode()
+        names = coded.dictionary.to_pylist()
+        if self.words:
+            names = [x.encode("utf-8", "surrogatepass") for x in names]
+        else:
+            names = [x[1:] if x[:1] == "\0" else x if x == "\n" else " " + x for x in names]
+        found = self._ids(list(set(names)))
+        ids = [found[x] for x in names]
+        flat = np.frombuffer(b"".join(ids), self.dtype)
+        sizes = np.fromiter(map(len, ids), np.int64, len(ids)) // self.dtype.itemsize
+        first = np.cumsum(sizes) - sizes
+        at = coded.indices.to_numpy()
+        each = sizes[at]
+        ends = np.cumsum(each)
+        total = int(ends[-1]) if len(ends) else 0
+        stream = flat[np.repeat(first[at] - ends + each, each) + np.arange(total)].tobytes()
+        bounds = np.concatenate([[0], ends])[lists.offsets.to_numpy()] * self.dtype.itemsize
+        return [stream[a:b] for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
+
 
 #: Letters after which a comma or full stop begins a new piece in either tokenizer.
 LETTERS = frozenset("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ")
