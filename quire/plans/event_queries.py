@@ -36,7 +36,7 @@ def stall_status(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def rate_limit_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return E.trailing_count(log(spark, sf_dir), "key", 3600).groupBy("key").agg(F.max("trailing").alias("most"), F.sum((F.col("trailing") > 1).cast("long")).alias("over"))
+    return E.trailing_count(log(spark, sf_dir), "key", 3600).groupBy("key").agg(F.max("trailing").alias("most"), F.sum((F.col("trailing") > 1).cast("long")).alias("over_limit"))
 
 
 def month_quota(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -143,7 +143,7 @@ ORACLES = {
     "chunk_state": f"WITH {CHUNKS} SELECT * FROM cs",
     "progress_by_job": f"WITH {PROGRESS} SELECT * FROM pg",
     "stall_status": f"WITH {LOG}, m AS (SELECT job, max({{'ts': ts, 'seq': seq, 'event': event}}) AS m FROM lg GROUP BY 1), a AS (SELECT job, m.event AS event, (epoch_us(TIMESTAMP '{NOW}') - epoch_us(m.ts)) / 1000000 AS age FROM m) SELECT job, CASE WHEN event = 'attempt_failure' THEN 'failed' WHEN age <= 120 THEN 'active' WHEN event = 'attempt_start' AND age <= 600 THEN 'waiting' WHEN age <= 180 THEN 'active' ELSE 'stalled' END AS activity FROM a",
-    "rate_limit_hits": f"WITH {LOG}, t AS (SELECT key, count(*) OVER (PARTITION BY key ORDER BY ts RANGE BETWEEN INTERVAL 1 HOUR PRECEDING AND CURRENT ROW) AS tr FROM lg) SELECT key, max(tr) AS most, sum((tr > 1)::int)::bigint AS "over" FROM t GROUP BY 1",
+    "rate_limit_hits": f"WITH {LOG}, t AS (SELECT key, count(*) OVER (PARTITION BY key ORDER BY ts RANGE BETWEEN INTERVAL 1 HOUR PRECEDING AND CURRENT ROW) AS tr FROM lg) SELECT key, max(tr) AS most, sum((tr > 1)::int)::bigint AS over_limit FROM t GROUP BY 1",
     "month_quota": f"WITH {LOG}, u AS (SELECT key, strftime(ts, '%Y-%m') AS month, sum(round(value * 100)::bigint) OVER (PARTITION BY key, strftime(ts, '%Y-%m') ORDER BY ts, seq)::bigint AS used FROM lg) SELECT key, month, max(used) AS used, sum((used <= 50000)::int)::bigint AS within FROM u GROUP BY ALL",
     "ttl_live": f"WITH {LOG} SELECT event, count(*) AS n, min(seq) AS first FROM lg WHERE epoch_us(TIMESTAMP '2024-01-09 00:00:00') - epoch_us(ts) <= 168 * 3600000000 GROUP BY 1",
     "stage_durations": f"WITH {LOG}, d AS (SELECT event, epoch_us(lead(ts) OVER (PARTITION BY key ORDER BY ts, seq)) - epoch_us(ts) AS us FROM lg) SELECT event, count(us) AS n, sum(us)::bigint AS us, max(us) AS longest FROM d GROUP BY 1",
