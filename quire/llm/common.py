@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
+from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -42,6 +44,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def small_batches(spark: SparkSession, rows: int = 2000) -> None:
-    """Bound the rows of an Arrow batch, so that a batch of long texts fits in a Python worker."""
+def small_batches(spark: SparkSession, rows: int = 2000, megabytes: int = 16) -> None:
+    """Bound an Arrow batch in rows and bytes, so that a batch of long texts fits in a Python worker."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(megabytes << 20))
+
+
+_held: dict[str, Any] = {}
+
+
+def held(key: str, make: Callable[[], Any]) -> Any:
+    """What a worker process remembers between batches and tasks. Workers are used again by later stages, so
+    only one such object is kept: asking for another frees it."""
+    if key not in _held:
+        _held.clear()
+        _held[key] = make()
+    return _held[key]

@@ -15,15 +15,15 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
+from quire.llm.common import held
+
 #: Pieces that a worker remembers before it keeps only those of its last batch (about 200 bytes each),
 #: and the longest remembered.
-MEMORY, LONGEST = 700_000, 64
+MEMORY, LONGEST = 500_000, 64
 #: A single space or line feed between two characters that are no white space: there, byte-level BPE cuts.
 _SPACE, _LINE = re.compile(r"(?<=\S) (?=\S)"), re.compile(r"(?<=\S)\n(?=\S)")
 _PLAIN = re.compile(r"\s\s")
 
-_loaded: dict[tuple[str, str], Pieces] = {}
-
 
 def tokenizer_path(name: str) -> str:
     import public_tokenizers
@@ -194,6 +194,4 @@ LETTERS = frozenset("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ")
 
 def pieces(path: str, words: bool) -> Pieces:
     """The worker's encoder of a tokenizer file; loaded once a process."""
-    if (path, words) not in _loaded:
-        _loaded[path, words] = Pieces(path, words)
-    return _loaded[path, words]
+    return held(f"tokens {path} {words}", lambda: Pieces(path, words))
