@@ -1,6 +1,6 @@
 """Token ids in files by canonical length-limited Huffman coding.
 
-Format: `header` holds the code length of every id (one byte each; 0: unused); codes are canonical, in
+Format: `header` holds the type of doc_id and the code length of every id (one byte each; 0: unused); codes are canonical, in
 order of (length, id), at most 16 bits. `blocks` holds rows of whole documents in ascending doc_id order:
 part and seq (their order), first_id (ids of the part before the block), doc_ids, n_ids (of each
 document), checks (bit offset of every 256th id, little-endian unsigned 32-bit) and bits. Any block decodes
@@ -29,6 +29,8 @@ from quire.llm.common import drop_staged, shared_dir, staged
 from quire.llm.tokens import pieces, tokenizer_path
 
 MAX_BITS, CHECK, BLOCK_IDS, LANES = 16, 256, 1 << 16, 1 << 13
+#: Pieces that a worker remembers: it holds nothing else.
+MEMORY = 1_000_000
 
 
 def code_lengths(counts: np.ndarray, most: int = MAX_BITS) -> np.ndarray:
@@ -116,35 +118,39 @@ def decode_blocks(blocks: list[tuple[bytes, bytes, int]], table: tuple[np.ndarra
     return found
 
 
-def tokenize(docs: DataFrame, end_id: int, path: str) -> DataFrame:
-    """doc_id, ordinal (unique), ids (binary)."""
+def tokenize(docs: DataFrame, end_id: int, path: str, n_ids: int) -> DataFrame:
+    """doc_id, ordinal (unique), ids (binary) of each document, and a row for each task that has only counts: how
+    often the task's documents hold each id (little-endian signed 64-bit, one for each id)."""
     kind = dict(docs.dtypes)["doc_id"]
+    names = ["doc_id", "ordinal", "ids", "counts"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ordinal, encoder = TaskContext.get().partitionId() << 33, pieces(path, words=False)
-        end = np.array([end_id], encoder.dtype).tobytes()
+        ordinal, encoder, doc_type = TaskContext.get().partitionId() << 33, pieces(path, False, MEMORY), None
+        end, counts = np.array([end_id], encoder.dtype).tobytes(), np.zeros(n_ids, np.int64)
         for batch in batches:
+            doc_type = batch.schema.field("doc_id").type
             ids = [x + end for x in encoder.encode(batch["text"].to_pylist())]
-            yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(np.arange(ordinal, ordinal + len(ids))), pa.array(ids, pa.binary())], names=["doc_id", "ordinal", "ids"])
+            counts += np.bincount(np.frombuffer(b"".join(ids), encoder.dtype), minlength=n_ids)
+            yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(np.arange(ordinal, ordinal + len(ids))), pa.array(ids, pa.binary()), pa.nulls(len(ids), pa.binary())], names=names)
             ordinal += len(ids)
+        if doc_type is not None:
+            yield pa.RecordBatch.from_arrays([pa.nulls(1, doc_type), pa.array([ordinal]), pa.nulls(1, pa.binary()), pa.array([counts.astype("<i8").tobytes()], pa.binary())], names=names)
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, ordinal long, ids binary")
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, ordinal long, ids binary, counts binary")
 
 
-def count_ids(tokens: DataFrame, n_ids: int, dtype: str) -> np.ndarray:
-    """How often each id occurs in the whole table."""
+def count_ids(tokens: DataFrame, n_ids: int) -> np.ndarray:
+    """How often each id occurs in the whole table: the sum of the tasks' counts, id by id."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(n_ids, np.int64)
         for batch in batches:
-            for ids in batch["ids"]:
-                counts += np.bincount(np.frombuffer(ids.as_buffer(), dtype), minlength=n_ids) if len(ids.as_buffer()) > 4 * n_ids else 0
-            short = b"".join(x.as_py() for x in batch["ids"] if len(x.as_buffer()) <= 4 * n_ids)
-            counts += np.bincount(np.frombuffer(short, dtype), minlength=n_ids)
+            for x in batch["counts"]:
+                counts += np.frombuffer(x.as_py(), "<i8")
         used = np.flatnonzero(counts)
         yield pa.RecordBatch.from_arrays([pa.array(used, pa.int64()), pa.array(counts[used])], names=["id", "n"])
 
     counts = np.zeros(n_ids, np.int64)
-    for r in tokens.select("ids").mapInArrow(run, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).collect():
+    for r in tokens.where("counts is not null").select("counts").mapInArrow(run, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).collect():
         counts[r.id] = r.n
     return counts
 
@@ -155,11 +161,11 @@ def write_ids(docs: DataFrame, end_id: int = 2, vocabulary: str | None = None, p
     path = path or f"{shared_dir(spark)}/ids-{uuid.uuid4().hex}"
     encoder = pieces(vocabulary, words=False)
     dtype, n_ids = encoder.dtype.str, max(encoder.tokenizer.get_vocab_size(), end_id + 1)
-    tokens = staged(tokenize(docs, end_id, vocabulary), "token-ids")
-    lengths = code_lengths(count_ids(tokens, n_ids, dtype))
+    tokens = staged(tokenize(docs, end_id, vocabulary, n_ids), "token-ids")
+    lengths = code_lengths(count_ids(tokens, n_ids))
     shared = spark.sparkContext.broadcast((lengths, canonical_codes(lengths)))  # 9 bytes for each id of the vocabulary
-    spark.createDataFrame([(lengths.tobytes(),)], "lengths binary").coalesce(1).write.parquet(f"{path}/header")
     kind = dict(docs.dtypes)["doc_id"]
+    spark.createDataFrame([(lengths.tobytes(), kind)], "lengths binary, id_type string").coalesce(1).write.parquet(f"{path}/header")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, seq, first = TaskContext.get().partitionId(), 0, 0
@@ -189,12 +195,16 @@ def write_ids(docs: DataFrame, end_id: int = 2, vocabulary: str | None = None, p
         if held:
             yield block()
 
-    ordered = tokens.repartitionByRange(F.col("doc_id"), F.col("ordinal")).sortWithinPartitions("doc_id", "ordinal")
-    ordered.select("doc_id", "ids").mapInArrow(run, f"part int, seq long, first_id long, total long, doc_ids array<{kind}>, n_ids array<long>, checks binary, bits binary").write.option("compression", "none").parquet(f"{path}/blocks")
+    ordered = tokens.where("counts is null").select("doc_id", "ordinal", "ids").repartitionByRange(F.col("doc_id"), F.col("ordinal")).sortWithinPartitions("doc_id", "ordinal")
+    ordered.select("doc_id", "ids").mapInArrow(run, _blocks_schema(kind)).write.option("compression", "none").parquet(f"{path}/blocks")
     drop_staged(tokens)
     return path
 
 
+def _blocks_schema(kind: str) -> str:
+    return f"part int, seq long, first_id long, total long, doc_ids array<{kind}>, n_ids array<long>, checks binary, bits binary"
+
+
 def _decoded(blocks: DataFrame, lengths: bytes, kind: str, with_ids: bool) -> DataFrame:
     shared = blocks.sparkSession.sparkContext.broadcast(lengths)
 
@@ -229,9 +239,9 @@ def _decoded(blocks: DataFrame, lengths: bytes, kind: str, with_ids: bool) -> Da
 
 def read_ids(spark: SparkSession, path: str, with_ids: bool = False) -> DataFrame:
     """doc_id, start, n_tokens, ids_crc32 and, if asked for, ids (little-endian unsigned 32-bit), read from files."""
-    lengths = bytes(spark.read.parquet(f"{path}/header").first().lengths)
-    blocks = spark.read.parquet(f"{path}/blocks")
-    kind = dict(blocks.dtypes)["doc_ids"][len("array<") : -1]
+    header = spark.read.parquet(f"{path}/header").first()
+    lengths, kind = bytes(header.lengths), header.id_type
+    blocks = spark.read.schema(_blocks_schema(kind)).parquet(f"{path}/blocks")
     parts = blocks.groupBy("part").agg(F.sum("total").alias("n"))  # one row for each part file
     before = F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     placed = blocks.join(F.broadcast(parts.select("part", before.alias("before"))), "part").withColumn("start", F.col("before") + F.col("first_id"))

@@ -49,7 +49,7 @@ def op5_bit_sliced_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quire.llm.packing import pack_documents
 
-    small_batches(spark)
+    small_batches(spark, 4096)
     return pack_documents(table(spark, sf_dir, "documents"))
 
 
@@ -66,7 +66,7 @@ def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_huffman_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quire.llm.huffman import read_ids, write_ids
 
-    small_batches(spark)
+    small_batches(spark, 4096)
     return read_ids(spark, write_ids(table(spark, sf_dir, "documents")))
 
 

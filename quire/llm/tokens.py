@@ -17,9 +17,9 @@ import pyarrow.compute as pc
 
 from quire.llm.common import held
 
-#: Pieces that a worker remembers before it keeps only those of its last batch (about 200 bytes each),
-#: and the longest remembered.
-MEMORY, LONGEST = 500_000, 64
+#: Pieces that a worker remembers before it keeps only those of its last batch (about 200 bytes each), the
+#: longest remembered, and the texts whose pieces are found together.
+MEMORY, LONGEST, TEXTS = 500_000, 64, 4096
 #: A single space or line feed between two characters that are no white space: there, byte-level BPE cuts.
 _SPACE, _LINE = re.compile(r"(?<=\S) (?=\S)"), re.compile(r"(?<=\S)\n(?=\S)")
 _PLAIN = re.compile(r"\s\s")
@@ -34,13 +34,13 @@ def tokenizer_path(name: str) -> str:
 class Pieces:
     """Encodes texts to bytes of little-endian ids, `dtype` wide."""
 
-    def __init__(self, path: str, words: bool):
+    def __init__(self, path: str, words: bool, memory: int = MEMORY):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.words = words
+        self.words, self.memory = words, memory
         self.dtype = np.dtype("<u2") if self.tokenizer.get_vocab_size() <= 1 << 16 else np.dtype("<u4")
         #: Ids that end a word, or that begin with a space.
         self.marks = np.zeros(self.tokenizer.get_vocab_size(), bool)
@@ -72,7 +72,7 @@ class Pieces:
         if self.words:
             kinds = [" " if t.isalpha() else "" for t in texts]
         else:
-            kinds = [" " if t[0] == " " and len(t) > 1 else "\n" if t != "\n" else "" for t in texts]
+            kinds = [" " if t[:1] == " " and len(t) > 1 else "\n" if t and t != "\n" else "" for t in texts]
         for kind in (" ", "\n", ""):
             some = [i for i, k in enumerate(kinds) if k == kind]
             if some:
@@ -107,9 +107,9 @@ class Pieces:
         """Ids of pieces that aren't known; those worth it are remembered."""
         known, got, ended = self.known, {}, []
         todo: dict = {}
+        ends = (44, 46) if self.words else (",", ".")
         for p in new:
-            stem = self._stem(p)
-            if stem is None:
+            if not p or p[-1] not in ends or (stem := self._stem(p)) is None:
                 todo[p] = None
                 continue
             last = p[-1:]
@@ -125,7 +125,7 @@ class Pieces:
             got[p] = (got.get(stem) or known.get(stem) or b"") + (got.get(last) or known[last])
         return got
 
-    def encode(self, texts: Iterable[str | None], at_once: int = 2048) -> list[bytes]:
+    def encode(self, texts: Iterable[str | None], at_once: int = TEXTS) -> list[bytes]:
         """Ids of each text (null: none)."""
         texts, out = [t or "" for t in texts], []
         for at in range(0, len(texts), at_once):
@@ -137,22 +137,24 @@ class Pieces:
         return out
 
     def _encode_split(self, texts: list[str]) -> list[bytes]:
+        if not texts:
+            return []
         split = [self._split(t) for t in texts]
-        found = self._ids(list(set().union(*split)))
+        pieces = list(set().union(*split))
+        found = dict(zip(pieces, self._ids(pieces), strict=True))
         return [b"".join([found[p] for p in x]) for x in split]
 
-    def _ids(self, pieces: list) -> dict:
+    def _ids(self, pieces: list) -> list[bytes]:
         """Ids of distinct pieces, from memory or learned; a memory that is full keeps only these."""
         known = self.known
         new = [p for p in pieces if p not in known]
-        if len(known) + len(new) > MEMORY:
+        if new and len(known) + len(new) > self.memory:
             self.known = known = {p: known[p] for p in pieces if p in known}
         got = self._learn(new)
         known.update(got)
-        found = {p: known[p] for p in pieces}
-        for p in got:
-            if len(p) > LONGEST:
-                del known[p]
+        found = list(map(known.__getitem__, pieces))
+        for p in [p for p in got if len(p) > LONGEST]:
+            del known[p]
         return found
 
     @staticmethod
@@ -174,16 +176,17 @@ class Pieces:
             names = [x.encode("utf-8", "surrogatepass") for x in names]
         else:
             names = [x[1:] if x[:1] == "\0" else x if x == "\n" else " " + x for x in names]
-        found = self._ids(list(set(names)))
-        ids = [found[x] for x in names]
+        ids = self._ids(names)
         flat = np.frombuffer(b"".join(ids), self.dtype)
-        sizes = np.fromiter(map(len, ids), np.int64, len(ids)) // self.dtype.itemsize
-        first = np.cumsum(sizes) - sizes
+        sizes = np.fromiter(map(len, ids), np.int32, len(ids)) // self.dtype.itemsize
+        first = np.cumsum(sizes, dtype=np.int32) - sizes
         at = coded.indices.to_numpy()
         each = sizes[at]
-        ends = np.cumsum(each)
+        ends = np.cumsum(each, dtype=np.int32)  # a batch of texts has less than 2^31 ids
         total = int(ends[-1]) if len(ends) else 0
-        stream = flat[np.repeat(first[at] - ends + each, each) + np.arange(total)].tobytes()
+        from_ = np.repeat(first[at] - ends + each, each)
+        from_ += np.arange(total, dtype=np.int32)
+        stream = flat[from_].tobytes()
         bounds = np.concatenate([[0], ends])[lists.offsets.to_numpy()] * self.dtype.itemsize
         return [stream[a:b] for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
 
@@ -192,6 +195,6 @@ class Pieces:
 LETTERS = frozenset("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ")
 
 
-def pieces(path: str, words: bool) -> Pieces:
+def pieces(path: str, words: bool, memory: int = MEMORY) -> Pieces:
     """The worker's encoder of a tokenizer file; loaded once a process."""
-    return held(f"tokens {path} {words}", lambda: Pieces(path, words))
+    return held(f"tokens {path} {words} {memory}", lambda: Pieces(path, words, memory))
