@@ -25,10 +25,11 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from quire.llm import gru
+from quire.llm.common import held
 
 SPAN, HIDDEN, STEPS, BATCH, RATE = 24, 12, 600, 384, 1e-2
-#: Runs that a worker remembers, of at most so many bytes, and runs that go through the network at once.
-MEMORY, AT_ONCE = 500_000, 2048
+#: Runs that a worker remembers, runs that go through the network at once, texts that are split at once.
+MEMORY, AT_ONCE, TEXTS = 300_000, 2048, 512
 #: Documents rejected by the pipeline's filter: `und`, or a language hardly likelier than the others.
 LEAST_SCORE = 0.35
 
@@ -184,6 +185,10 @@ class Scorer:
 
     def probabilities(self, texts: list[str | None]) -> np.ndarray:
         """[texts, langs]; rows of zeros where there are no letters."""
+        parts = [self._probabilities(texts[at : at + TEXTS]) for at in range(0, len(texts), TEXTS)]
+        return np.concatenate(parts) if parts else np.zeros((0, len(self.model.langs)))
+
+    def _probabilities(self, texts: list[str | None]) -> np.ndarray:
         split = [runs_of(t) for t in texts]
         new = [w for w in set().union(*split) if w not in self.known]
         if len(self.known) + len(new) > MEMORY:
@@ -199,20 +204,15 @@ class Scorer:
         return out / np.maximum(out.sum(axis=1, keepdims=True), 1e-30)
 
 
-_scorers: dict[str, Scorer] = {}
-
-
 def scorer(model: Model) -> Scorer:
-    key = model.key()
-    if key not in _scorers:
-        _scorers.clear()
-        _scorers[key] = Scorer(model)
-    return _scorers[key]
+    return held(f"langid {model.key()}", lambda: Scorer(model))
 
 
-def _labels(prob: np.ndarray, langs: list[str]) -> tuple[list[str], list[float]]:
-    if not langs:
-        return ["und"] * len(prob), [0.0] * len(prob)
+def _labels(texts: list[str | None], model: Model) -> tuple[list[str], list[float]]:
+    langs = model.langs
+    if not langs or not texts:
+        return ["und"] * len(texts), [0.0] * len(texts)
+    prob = scorer(model).probabilities(texts)
     best = prob.argmax(axis=1)
     return ["und" if not row.any() else langs[k] for row, k in zip(prob, best, strict=True)], prob.max(axis=1).clip(0, 1).tolist()
 
@@ -224,7 +224,7 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            names, scores = _labels(scorer(shared.value).probabilities(batch["text"].to_pylist()), shared.value.langs)
+            names, scores = _labels(batch["text"].to_pylist(), shared.value)
             yield pa.RecordBatch.from_arrays([*(batch[c] for c in extra), pa.array(names, pa.string()), pa.array(scores, pa.float64())], names=[*extra, "lang_pred", "score"])
 
     kinds = ", ".join(f"`{c}` {t}" for c, t in docs.select(*extra).dtypes)
@@ -237,7 +237,7 @@ def keep_identified(docs: DataFrame, model: Model, least: float = LEAST_SCORE) -
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            names, scores = _labels(scorer(shared.value).probabilities(batch["text"].to_pylist()), shared.value.langs)
+            names, scores = _labels(batch["text"].to_pylist(), shared.value)
             yield batch.filter(pa.array([n != "und" and s >= least for n, s in zip(names, scores, strict=True)], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)

@@ -27,13 +27,16 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from quire.llm import gru
+from quire.llm.common import held
 from quire.llm.langid import RUNS
 
 THRESHOLD = 0.3
 WINDOW, STRIDE = 32, 16
 HIDDEN, INPUT, GRAMS, WORDS, LONGEST = 8, 12, 4096, 20_000, 64
 STEPS, MORE_STEPS, BATCH, RATE = 300, 300, 256, 1e-2
-MOST_BYTES, MEMORY, AT_ONCE = 20_000, 400_000, 4096
+MOST_BYTES, MEMORY, AT_ONCE, TEXTS = 20_000, 150_000, 4096, 512
+#: Decay of weights a step, and the most passes over the windows of a small sample.
+DECAY, PASSES = 1e-3, 12
 #: Windows of a batch that are made to repeat their first words: clean texts of few words are rare in a sample.
 ECHOES = 16
 #: Update-gate input of padding: the state stays as it is.
@@ -173,6 +176,9 @@ class Scorer:
 
     def largest(self, texts: list[str | None]) -> np.ndarray:
         """The largest window logit of each text; -inf without words."""
+        return np.concatenate([self._largest(texts[at : at + TEXTS]) for at in range(0, max(1, len(texts)), TEXTS)])
+
+    def _largest(self, texts: list[str | None]) -> np.ndarray:
         split = [words_of(t) for t in texts]
         new = [w for w in set().union(*split) if w not in self.known]
         if len(self.known) + len(new) > MEMORY:
@@ -248,8 +254,10 @@ def train(texts: list[str], y: np.ndarray, share: float, seed: int = 3) -> Model
     # documents count alike, however many windows they have
     per_doc = 1 / np.bincount(doc, minlength=len(y))[doc]
     chance = [per_doc[q] / per_doc[q].sum() for q in pools]
-    for k in range(STEPS + MORE_STEPS):
-        if k >= STEPS and (k - STEPS) % 100 == 0:
+    first_steps = min(STEPS, PASSES * x.shape[1] // BATCH + 20)
+    all_steps = first_steps + min(MORE_STEPS, first_steps)
+    for k in range(all_steps):
+        if k >= first_steps and (k - first_steps) % 100 == 0:
             logit = _window_logits(Model(p, vocabulary), seen, ids, x)
             order = np.lexsort((-logit, doc))
             rank = np.empty(len(doc), np.int64)
@@ -259,13 +267,15 @@ def train(texts: list[str], y: np.ndarray, share: float, seed: int = 3) -> Model
             pools = [np.flatnonzero((y[doc] == 0)), np.flatnonzero((y[doc] == 1) & (rank < 1))]
             chance = [np.where(hard[pools[0]], 1.0, 0.05), np.ones(len(pools[1]))]
             chance = [c / c.sum() for c in chance]
-        adam.rate = RATE * (1 - k / (STEPS + MORE_STEPS)) + 5e-4
+        adam.rate = RATE * (1 - k / all_steps) + 5e-4
         chosen = np.concatenate([rng.choice(q, BATCH // 2, p=c) for q, c in zip(pools, chance, strict=True)])
         lanes, target = x[:, chosen].copy(), y[doc[chosen]].astype(np.float32)
         for i in rng.choice(BATCH // 2, ECHOES, replace=False):  # windows that repeat a few clean words are clean
             span = int(rng.integers(1, 5))
             lanes[:, i] = np.resize(lanes[:span, i], WINDOW)
         adam.step(step(p, seen, ids, lanes, target))
+        for name in ("words", "grams", "out", "att"):
+            p[name] *= np.float32(1 - DECAY)
     largest = np.full(len(y), -np.inf)
     np.maximum.at(largest, doc, _window_logits(model, seen, ids, x).astype(float))
     mine = float(y.mean())
@@ -296,15 +306,8 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = 1500) -> Model:
     return train([r.text for r in rows], np.array([r.toxic for r in rows], np.int64), n.get(1, 0) / max(1, sum(n.values())))
 
 
-_scorers: dict[str, Scorer] = {}
-
-
 def scorer(model: Model) -> Scorer:
-    key = model.key()
-    if key not in _scorers:
-        _scorers.clear()
-        _scorers[key] = Scorer(model)
-    return _scorers[key]
+    return held(f"toxicity {model.key()}", lambda: Scorer(model))
 
 
 def predict(docs: DataFrame, model: Model) -> DataFrame:
