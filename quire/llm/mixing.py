@@ -2,7 +2,7 @@
 
 A block is one occurrence of a document in the mix. Each source's blocks are its documents in a
 hashed permutation, repeated for whole passes, then a partial pass that ends where the target is
-reached, plus one later document that fits the remaining gap best. The exact block quotas of all
+reached: of its last document only the words that the target still needs are taken. The exact block quotas of all
 sources are split among output shards by a binary tree: at each node the left half's share is a
 multivariate hypergeometric draw from the node's quotas, as if its blocks were dealt from a shuffled
 deck. A leaf's quotas become disjoint runs of each source's permuted blocks; inside a shard a hashed
@@ -109,18 +109,14 @@ class Mix:
         self.ranked = staged(ranked.select("doc_id", "source", "size", "_mix_key", "cell", (F.col("rank") + F.col("_n")).alias("rank"), (F.col("upto") + F.col("_w")).alias("upto")), "mix-ranked")
 
     def _fill(self) -> None:
-        """The partial pass: its last document, and the later one that fills its gap best."""
+        """Documents that a partial pass takes whole, and the words it takes of the next one."""
         inside = F.col("upto") <= F.col("_p_rest")
         got = {r.source: r for r in self._with(self.ranked, "rest").groupBy("source").agg(
             F.sum(F.when(inside, F.col("size"))).alias("words"), F.count(F.when(inside, 1)).alias("n")).collect()}
         for s in self.sources:
             r = got.get(s["source"])
             s["partial"], s["gap"] = (r.n, s["rest"] - (r.words or 0)) if s["rest"] > 0 else (0, 0)
-        left = self._with(self.ranked, "partial", "gap").where((F.col("rank") >= F.col("_p_partial")) & (F.col("_p_gap") > 0) & (F.abs(F.col("size") - F.col("_p_gap")) < F.col("_p_gap")))
-        best = {r.source: r.best for r in left.groupBy("source").agg(F.min(F.struct(F.abs(F.col("size") - F.col("_p_gap")).alias("off"), "rank")).alias("best")).collect()}
-        for s in self.sources:
-            s["filler"] = best[s["source"]].rank if s["source"] in best else -1
-            s["quota"] = s["passes"] * s["n_docs"] + s["partial"] + (s["filler"] >= 0)
+            s["quota"] = s["passes"] * s["n_docs"] + s["partial"] + (s["gap"] > 0)
 
     def _split(self) -> None:
         total = sum(s["quota"] for s in self.sources)
@@ -131,31 +127,41 @@ class Mix:
             s["starts"] = starts[:, i].tolist()
 
     def documents(self) -> DataFrame:
-        """doc_id, source, size, source_size, target and draws: an array of (pass, block, shard, shuffle_key)."""
-        rows = self._with(self.ranked, "source_size", "target", "passes", "n_docs", "partial", "filler", "starts")
-        whole = F.transform(F.when(F.col("_p_passes") > 0, F.sequence(F.lit(0).cast("long"), F.col("_p_passes") - 1)).otherwise(F.array().cast("array<long>")),
-                            lambda p: F.struct(p.alias("pass"), (p * F.col("_p_n_docs") + F.col("rank")).alias("block")))
-        last = F.when(F.col("rank") < F.col("_p_partial"), F.col("rank")).when(F.col("rank") == F.col("_p_filler"), F.col("_p_partial"))
-        more = F.when(last.isNotNull(), F.array(F.struct(F.col("_p_passes").alias("pass"), (F.col("_p_passes") * F.col("_p_n_docs") + last).alias("block")))).otherwise(F.array().cast("array<struct<pass:bigint,block:bigint>>"))
-        shard = lambda b: F.size(F.filter("_p_starts", lambda x: x <= F.floor(b / self.run))) - 1
-        draws = F.transform(F.concat(whole, more), lambda d: F.struct(d["pass"].alias("pass"), d["block"].alias("block"), shard(d["block"]).alias("shard"), F.xxhash64(F.lit(self.seed + 1), "doc_id", "_mix_key", d["pass"]).alias("shuffle_key")))
-        return rows.select("doc_id", "source", "size", F.col("_p_source_size").alias("source_size"), F.col("_p_target").alias("target"), draws.alias("draws"))
+        """doc_id, source, size, source_size, target and draws: an array of (pass, block, words, shard, shuffle_key)."""
+        rows = self._with(self.ranked, "source_size", "target", "passes", "n_docs", "partial", "gap", "starts")
+        none = F.array().cast("array<bigint>")
+        passes = F.when(F.col("_p_passes") > 0, F.sequence(F.lit(0).cast("long"), F.col("_p_passes") - 1)).otherwise(none)
+        last = (F.col("rank") < F.col("_p_partial")) | ((F.col("rank") == F.col("_p_partial")) & (F.col("_p_gap") > 0))
+        passes = F.concat(passes, F.when(last, F.array(F.col("_p_passes"))).otherwise(none))
+
+        def draw(p: F.Column) -> F.Column:
+            block = p * F.col("_p_n_docs") + F.col("rank")
+            cut = (p == F.col("_p_passes")) & (F.col("rank") == F.col("_p_partial"))
+            shard = F.size(F.filter("_p_starts", lambda x: x <= F.floor(block / self.run))) - 1
+            return F.struct(p.alias("pass"), block.alias("block"), F.when(cut, F.col("_p_gap")).otherwise(F.col("size")).alias("words"), shard.alias("shard"), F.xxhash64(F.lit(self.seed + 1), "doc_id", "_mix_key", p).alias("shuffle_key"))
+
+        return rows.select("doc_id", "source", "size", F.col("_p_source_size").alias("source_size"), F.col("_p_target").alias("target"), F.transform(passes, draw).alias("draws"))
 
     def occurrences(self) -> DataFrame:
         """One row a block: doc_id, pass, shard, shuffle_key; sorting a shard by shuffle_key is its local shuffle."""
-        return self.documents().select("doc_id", "source", "size", F.inline("draws"))
+        return self.documents().select("doc_id", "source", F.inline("draws"))
 
     def repeat(self, docs: DataFrame) -> DataFrame:
-        """Rows of `docs` as often as the mix takes them, with their columns: 0 to most_repeats times.
-        A document's draws follow from its hash and its source's boundary, so no text is shuffled."""
-        edge = self._with(self.ranked, "partial").where(F.col("rank") == F.col("_p_partial") - 1).select("source", F.struct("cell", "_mix_key", "doc_id").alias("edge"))
-        fill = self._with(self.ranked, "filler").where(F.col("rank") == F.col("_p_filler")).select("source", F.struct("cell", "_mix_key", "doc_id").alias("fill"))
-        edges, fills = ({r.source: r[1] for r in x.collect()} for x in (edge, fill))  # one row a source
+        """Rows of `docs` as often as the mix takes them, with their columns: 0 to most_repeats times; the document
+        of which only a part is taken counts if that is half of it. A document's draws follow from its hash and
+        its source's boundary, so no text is shuffled."""
+        near = (F.col("rank") == F.col("_p_partial")) | (F.col("rank") == F.col("_p_partial") - 1)
+        rows = self._with(self.ranked, "partial").where(near).select("source", "rank", "size", F.struct("cell", "_mix_key", "doc_id").alias("place")).collect()  # two rows a source
+        at = {(r.source, r.rank): r for r in rows}
         place = "struct<cell:bigint,_mix_key:bigint,doc_id:bigint>"
-        plan = F.broadcast(self.spark.createDataFrame([(s["source"], s["passes"], s["cells"], edges.get(s["source"]), fills.get(s["source"])) for s in self.sources], f"_p_source string, _p_passes long, _p_cells long, _p_edge {place}, _p_fill {place}"))
+        table = []
+        for s in self.sources:
+            cut = at.get((s["source"], s["partial"])) if s["gap"] > 0 else None
+            edge = cut if cut and 2 * s["gap"] >= cut["size"] else at.get((s["source"], s["partial"] - 1)) if s["rest"] > 0 else None
+            table.append((s["source"], s["passes"], s["cells"], edge and edge.place))
+        plan = F.broadcast(self.spark.createDataFrame(table, f"_p_source string, _p_passes long, _p_cells long, _p_edge {place}"))
         here = F.struct(F.pmod("_mix_key", F.col("_p_cells")).alias("cell"), F.col("_mix_key"), F.col("doc_id").cast("long").alias("doc_id"))
-        extra = F.coalesce((here <= F.col("_p_edge")) | (here == F.col("_p_fill")), here <= F.col("_p_edge"), here == F.col("_p_fill"), F.lit(False))
         rows = keyed(docs, self.seed)
         rows = rows.join(plan, rows["source"].eqNullSafe(plan["_p_source"]))
-        times = (F.col("_p_passes") + extra.cast("long")).cast("int")
+        times = (F.col("_p_passes") + F.coalesce(here <= F.col("_p_edge"), F.lit(False)).cast("long")).cast("int")
         return rows.withColumn("_mix_times", times).where("_mix_times > 0").withColumn("_mix_n", F.explode(F.array_repeat(F.lit(1), F.col("_mix_times")))).select(*docs.columns)

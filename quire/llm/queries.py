@@ -74,7 +74,7 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quire.llm.mixing import Mix
 
     mix = Mix(table(spark, sf_dir, "documents"))
-    return mix.documents().select("doc_id", "size", "source_size", "target", (F.col("size") * F.size("draws")).alias("taken"))
+    return mix.documents().select("doc_id", "size", "source_size", "target", F.aggregate("draws", F.lit(0).cast("long"), lambda n, d: n + d["words"]).alias("taken"))
 
 
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
