@@ -9,8 +9,8 @@ the best `SHORT` rows by it (ties: smaller id) are ranked anew by exact Euclidea
 double precision, and the best k of all lists are the result. Lists are dealt in chunks by hash, so a
 list full of equal vectors is no single task's work.
 
-Null ids or vectors, null or non-finite components, zero vectors: no part. Fewer candidates than k: all in
-the probed lists; if the sample is the whole table and small, all lists are probed. An empty table gives an
+Null ids or vectors, null or non-finite components, zero vectors: no part. Fewer candidates than k: all (a
+small table has one list). An empty table gives an
 empty result.
 """
 
@@ -77,7 +77,7 @@ class Index:
 def fit(x: np.ndarray, n_rows: int, k: int, seed: int = 5) -> Index:
     """Fit on a sample of `n_rows` rows."""
     rng = np.random.default_rng(seed)
-    lists = max(1, min(MOST_LISTS, len(x) // 16, round(math.sqrt(n_rows))))
+    lists = max(1, min(MOST_LISTS, len(x) // 32, round(math.sqrt(n_rows))))
     centers = k_means(x, lists, rng)
     parts = min(PARTS, x.shape[1])
     width = -(-x.shape[1] // parts)
@@ -92,6 +92,9 @@ def fit(x: np.ndarray, n_rows: int, k: int, seed: int = 5) -> Index:
     place = np.argsort(np.argsort(squared(asked, centers), axis=1), axis=1)
     near = np.argpartition(far, min(k, len(x) - 1), axis=1)[:, : k + 1]
     index.probes = min(len(centers), int(np.quantile(np.take_along_axis(place, own[near], axis=1), COVER)) + 1)
+    # and never so few that the smallest lists hold less than k other rows of the sample
+    smallest = np.cumsum(np.sort(np.bincount(own, minlength=len(centers))))
+    index.probes = max(index.probes, min(len(centers), int(np.searchsorted(smallest, k + 1)) + 1))
     return index
 
 
