@@ -41,7 +41,7 @@ def note_backlinks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def toc_page_range(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = table(spark, sf_dir, "documents").select("source", F.floor(F.col("doc_id") / 20).alias("page"), F.transform(F.split("text", "\n"), lambda x: F.when(F.length(x) % 3 == 0, F.concat(F.substring(x, 1, 5), F.lit(" .... 12"))).otherwise(x)).alias("lines"))
+    p = table(spark, sf_dir, "documents").select("source", F.floor(F.col("doc_id") / 20).alias("page"), F.transform(F.split("text", "\n"), lambda x: F.when(F.length(x) % 3 == 0, F.concat(x, F.lit(" .... 12"))).otherwise(x)).alias("lines"))
     return G2.toc_pages(p, "source")
 
 
@@ -99,7 +99,7 @@ def workspace_status(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def excluded_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = G.candidates(table(spark, sf_dir, "documents").where("lang = 'en'"))
+    found = G.candidates(table(spark, sf_dir, "documents"))
     shown, hidden = C.split_excluded(found, found.where("length(phrase) % 2 = 0"), "phrase")
     return shown.agg(F.count("*").alias("n")).withColumn("part", F.lit("shown")).unionByName(hidden.agg(F.count("*").alias("n")).withColumn("part", F.lit("hidden")))
 
@@ -137,7 +137,7 @@ ORACLES = {
     "majority_kind": "WITH c AS (SELECT source, lang, count(*) AS n, min(doc_id) AS p FROM documents GROUP BY ALL) SELECT source, lang FROM c QUALIFY row_number() OVER (PARTITION BY source ORDER BY n DESC, p) = 1",
     "chapter_assembly": "WITH p AS (SELECT conv_id % 20 AS chapter, conv_id AS page, string_agg(text, chr(10) ORDER BY turn) AS t FROM conversations GROUP BY ALL) SELECT chapter, md5(string_agg('[[page: ' || page || ']]' || chr(10) || t, chr(10) || chr(10) ORDER BY page)) AS digest, min(page) AS page_start, max(page) AS page_end FROM p GROUP BY 1",
     "note_backlinks": "WITH n AS (SELECT item_id AS note_id, item_id * 3 + 2 AS page FROM benchmark) SELECT note_id, max(doc_id) AS link_page, CASE WHEN max(doc_id) IS NOT NULL THEN 0 END::bigint AS link_pos FROM n LEFT JOIN documents ON doc_id BETWEEN page - 2 AND page AND regexp_matches(text, '(?:\\[1\\]|[a-z.,;]1(?:[^0-9]|$)|\\^1)') GROUP BY 1",
-    "toc_page_range": f"""WITH l AS (SELECT source, doc_id // 20 AS page, doc_id, unnest(string_split(text, chr(10))) AS r, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents), m AS (SELECT *, CASE WHEN length(r) % 3 = 0 THEN substr(r, 1, 5) || ' .... 12' ELSE r END AS x FROM l), f AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS k FROM m WHERE {T} <> ''),
+    "toc_page_range": f"""WITH l AS (SELECT source, doc_id // 20 AS page, doc_id, unnest(string_split(text, chr(10))) AS r, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents), m AS (SELECT *, CASE WHEN length(r) % 3 = 0 THEN r || ' .... 12' ELSE r END AS x FROM l), f AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS k FROM m WHERE {T} <> ''),
  s AS (SELECT source, page, doc_id, count(*) AS n, sum(regexp_matches({T}, '\\.{{2,}}[ \\t]*[0-9]+$|^[0-9]+[ \\t]+[A-Z].*[0-9]+$')::int) AS h, bool_or(k <= 5 AND regexp_matches(lower(x), '^\\s*(?:table of )?contents\\s*$')) AS hd FROM f GROUP BY ALL), g AS (SELECT source, page FROM s WHERE page <= 35 AND h * 100 + CASE WHEN hd THEN 25 * n ELSE 0 END >= 18 * n),
  st AS (SELECT source, min(page) AS start FROM g GROUP BY 1), e AS (SELECT source, start, max(page) AS e FROM g JOIN st USING (source) WHERE page <= start + 6 GROUP BY ALL) SELECT source, start, CASE WHEN e - start + 1 > 4 THEN start + 3 ELSE e END AS "end" FROM e""",
     "toc_depth_filter": "WITH e AS (SELECT l_orderkey AS book, l_partkey % 4 + 1 AS depth FROM lineitem), k AS (SELECT *, sum((depth <= 2)::int) OVER (PARTITION BY book) AS k FROM e) SELECT book, count(*) AS entries, max(depth) AS deepest FROM k WHERE depth <= 2 OR k = 0 GROUP BY 1",

@@ -132,7 +132,7 @@ def pending_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def term_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return G.candidates(table(spark, sf_dir, "documents").where("lang = 'en'"))
+    return G.candidates(table(spark, sf_dir, "documents"))
 
 
 def _scored(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -144,14 +144,14 @@ def term_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def term_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").where("lang = 'en'")
+    docs = table(spark, sf_dir, "documents")
     chars = docs.groupBy("source").agg(F.sum(F.length("text")).alias("chars"))
     shown = G.ranked(_scored(spark, sf_dir).join(chars, "source"), G.Policy(least_score=-6.0), F.col("chars"))
     return shown.select("source", "key", "score", "rank")
 
 
 def term_overlap_suppressed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").where("lang = 'en'")
+    docs = table(spark, sf_dir, "documents")
     chars = docs.groupBy("source").agg(F.sum(F.length("text")).alias("chars"))
     return G.without_contained(G.ranked(_scored(spark, sf_dir).join(chars, "source"), G.Policy(least_score=-6.0), F.col("chars")))
 
@@ -199,7 +199,7 @@ def first_missing_index(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def page_offset_vote(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = table(spark, sf_dir, "documents").select(F.col("source").alias("book"), "doc_id", F.md5(F.substring("text", 1, 24)).alias("key"))
+    d = table(spark, sf_dir, "documents").select(F.col("source").alias("book"), "doc_id", F.md5(F.split("text", "\n")[0]).alias("key"))
     pages = d.select("book", F.col("doc_id").alias("page"), "key")
     entries = d.where("doc_id % 3 = 0").select("book", F.col("doc_id").alias("pos"), (F.col("doc_id") - F.col("doc_id") % 5).alias("printed"), "key")
     return K.page_offset(entries, pages, "book")
@@ -233,7 +233,8 @@ def workspace_grouping(spark: SparkSession, sf_dir: str) -> DataFrame:
 def note_injection(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Benchmark notes placed into the chapter of their page (F19, E16): page lists expand, then an equi-join."""
     notes = table(spark, sf_dir, "benchmark").select("item_id", (F.col("item_id") * 7 % 200).alias("page"))
-    chapters = table(spark, sf_dir, "documents").where("doc_id % 10 = 0 and doc_id < 200").select(F.col("doc_id").alias("chapter"), F.explode(F.sequence(F.col("doc_id"), F.col("doc_id") + 9)).alias("page"))
+    spans = table(spark, sf_dir, "documents").groupBy(F.floor(F.col("doc_id") / 10).alias("chapter")).agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b"))
+    chapters = spans.select("chapter", F.explode(F.sequence("a", "b")).alias("page"))
     return notes.join(chapters, "page").select("item_id", "chapter", "page")
 
 
@@ -255,7 +256,7 @@ S_STRIP = "trim(source_text, ' ' || chr(9) || chr(10) || chr(13))"
 EXEMPT = """CASE WHEN {0} = '' THEN 'empty' WHEN length({0}) < 12 THEN 'too_short' WHEN regexp_matches({0}, '^!\\[[^\\]]*\\]\\([^)]*\\)$') THEN 'image' WHEN regexp_matches({0}, '^(?:[0-9]+|[ivxlcdm]+)[.)]?$') THEN 'page_number' WHEN len(regexp_extract_all({0}, 'https?://')) >= 2 THEN 'links' WHEN regexp_matches({0}, '^[A-Z][A-Za-z .-]{{2,40}}, [0-9]{{4}}') THEN 'bibliographic' END"""
 ITEMS = PAIRS + f""", q AS (SELECT *, coalesce(out, '') AS t, len(regexp_extract_all(coalesce(out, ''), '[A-Za-z]')) AS a FROM p), i AS (SELECT conv_id, turn, CASE WHEN trim(t, ' ' || chr(9) || chr(10) || chr(13)) = '' THEN 'missing_translation' WHEN length(source_text) >= 80 AND a > 80 THEN 'untranslated' WHEN length(source_text) >= 500 AND floor(a * 35 / 100) * 100 < length(source_text) * 16 THEN 'possibly_incomplete' END AS issue_type, {EXEMPT.format(S_STRIP)} AS ex FROM q),
  it AS (SELECT conv_id, turn, issue_type, 'high' AS severity, 'review-' || lpad(conv_id::varchar, 4, '0') || '-' || lpad((row_number() OVER (PARTITION BY conv_id ORDER BY turn))::varchar, 4, '0') AS item_id FROM i WHERE issue_type IS NOT NULL AND ex IS NULL)"""
-CAND = f"""cand AS (SELECT source, doc_id, phrase, count(*) AS n FROM (SELECT source, doc_id, unnest(list_concat(regexp_extract_all(text, '{G.PHRASE}'), regexp_extract_all(text, '{G.CONNECTED}'))) AS phrase FROM documents WHERE lang = 'en') GROUP BY ALL)"""
+CAND = f"""cand AS (SELECT source, doc_id, phrase, count(*) AS n FROM (SELECT source, doc_id, unnest(list_concat(regexp_extract_all(text, '{G.PHRASE}'), regexp_extract_all(text, '{G.CONNECTED}'))) AS phrase FROM documents) GROUP BY ALL)"""
 MARKS = " + ".join(f"contains(key, '{m}')::int" for m in G.DOMAIN_MARKERS)
 EVENTS = " OR ".join(f"contains(key, '{m}')" for m in G.EVENT_MARKERS)
 SCORED = CAND + f""", bd AS (SELECT source, lower(phrase) AS key, doc_id, sum(n)::bigint AS n, min(phrase) AS ph FROM cand GROUP BY ALL), vr AS (SELECT source, lower(phrase) AS key, count(DISTINCT phrase) AS variants FROM cand GROUP BY ALL), st AS (SELECT source, key, sum(n)::bigint AS occurrences, count(*) AS chapters, min(ph) AS phrase FROM bd GROUP BY ALL),
@@ -284,7 +285,7 @@ ORACLES = {
     "pending_neighbours": "WITH p AS (SELECT conv_id, turn, CASE WHEN length(text) > 300 THEN turn END AS p FROM conversations) SELECT conv_id, turn, coalesce(min(p) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), min(p) OVER (PARTITION BY conv_id)) AS next_pending, coalesce(max(p) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), max(p) OVER (PARTITION BY conv_id)) AS previous_pending FROM p",
     "term_candidates": f"WITH {CAND} SELECT * FROM cand",
     "term_scores": f"WITH {SCORED} SELECT * FROM sc",
-    "term_topk": f"""WITH {SCORED}, ch AS (SELECT source, sum(length(text)) AS chars FROM documents WHERE lang = 'en' GROUP BY 1), g AS (SELECT sc.*, chars, count(*) OVER (PARTITION BY sc.source) AS n, max(score) OVER (PARTITION BY sc.source) AS top, row_number() OVER (PARTITION BY sc.source ORDER BY score DESC, occurrences DESC, key) AS rank FROM sc JOIN ch ON sc.source = ch.source WHERE score >= -60)
+    "term_topk": f"""WITH {SCORED}, ch AS (SELECT source, sum(length(text)) AS chars FROM documents GROUP BY 1), g AS (SELECT sc.*, chars, count(*) OVER (PARTITION BY sc.source) AS n, max(score) OVER (PARTITION BY sc.source) AS top, row_number() OVER (PARTITION BY sc.source ORDER BY score DESC, occurrences DESC, key) AS rank FROM sc JOIN ch ON sc.source = ch.source WHERE score >= -60)
  SELECT source, key, score, rank FROM g WHERE (score >= CASE WHEN n <= 30 THEN -60 ELSE greatest(-60, least(65, top - 40)) END OR rank <= 15) AND rank <= least(200, greatest(20, 20 + floor(chars / 12000)))""",
     "pair_alignment": f"WITH {PAIRS} SELECT conv_id, turn, length(source_text) AS source_chars, length(out) AS translated_chars FROM p",
     "review_items": f"WITH {ITEMS} SELECT * FROM it",
@@ -294,10 +295,10 @@ ORACLES = {
     "segments_to_chapters": "SELECT conv_id, md5(string_agg(text, chr(10) || chr(10) ORDER BY turn)) AS digest, count(*) AS blocks FROM conversations WHERE trim(text) <> '' GROUP BY 1",
     "order_conservation": "WITH a AS (SELECT conv_id, turn AS pos, conv_id * 1000 + turn AS id FROM conversations), b AS (SELECT conv_id, CASE WHEN conv_id % 5 = 0 THEN turn + 1 ELSE turn END AS pos, conv_id * 1000 + turn AS id FROM conversations WHERE (conv_id + turn) % 9 <> 0), j AS (SELECT coalesce(a.conv_id, b.conv_id) AS conv_id, coalesce(a.pos, b.pos) AS pos, CASE WHEN b.id IS NULL THEN 'missing' WHEN a.id IS NULL THEN 'extra' WHEN a.id <> b.id THEN 'order' END AS problem FROM a FULL JOIN b ON a.conv_id = b.conv_id AND a.pos = b.pos) SELECT * FROM j WHERE problem IS NOT NULL",
     "first_missing_index": "WITH h AS (SELECT DISTINCT l_orderkey AS k, l_linenumber - 1 AS i FROM lineitem WHERE l_partkey % 4 <> 0), g AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY i) - 1 AS g FROM h) SELECT k, coalesce(min(CASE WHEN i <> g THEN g END), max(g) + 1)::bigint AS first_missing FROM g GROUP BY k",
-    "page_offset_vote": "WITH d AS (SELECT source AS book, doc_id, md5(substr(text, 1, 24)) AS key FROM documents), f AS (SELECT book, key, min(doc_id) AS page FROM d GROUP BY ALL), h AS (SELECT d.book, page - (doc_id - doc_id % 5) AS o FROM d JOIN f ON d.book = f.book AND d.key = f.key WHERE doc_id % 3 = 0 QUALIFY row_number() OVER (PARTITION BY d.book ORDER BY doc_id) <= 6) SELECT book, trunc(median(o))::bigint AS \"offset\", count(*) AS votes FROM h GROUP BY book",
+    "page_offset_vote": "WITH d AS (SELECT source AS book, doc_id, md5(string_split(text, chr(10))[1]) AS key FROM documents), f AS (SELECT book, key, min(doc_id) AS page FROM d GROUP BY ALL), h AS (SELECT d.book, page - (doc_id - doc_id % 5) AS o FROM d JOIN f ON d.book = f.book AND d.key = f.key WHERE doc_id % 3 = 0 QUALIFY row_number() OVER (PARTITION BY d.book ORDER BY doc_id) <= 6) SELECT book, trunc(median(o))::bigint AS \"offset\", count(*) AS votes FROM h GROUP BY book",
     "latest_decision": "SELECT user_id, json_extract(props, '$.k')::int AS k, max(event_id) AS event_id, arg_max(event_type, event_id) AS event_type FROM events GROUP BY ALL",
     "glossary_upsert": "SELECT doc_id, quality FROM labels WHERE doc_id NOT IN (SELECT doc_id FROM documents WHERE doc_id % 10 = 0) UNION ALL SELECT doc_id, 9 FROM documents WHERE doc_id % 10 = 0",
     "glossary_status": "SELECT source, count(*) AS candidates, sum((quality = 1)::int)::bigint AS active, sum((quality IS NULL)::int)::bigint AS undecided FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id GROUP BY 1",
     "workspace_grouping": "WITH d AS (SELECT source, lang, documents.doc_id, CASE WHEN quality = 1 THEN 2 WHEN quality = 0 THEN 1 ELSE 0 END AS p FROM documents LEFT JOIN labels ON documents.doc_id = labels.doc_id), m AS (SELECT source, lang, max({'p': p, 'd': doc_id}) AS m, count(*) AS history FROM d GROUP BY ALL) SELECT source, lang, m.p AS priority, m.d AS best, history FROM m",
-    "note_injection": "WITH c AS (SELECT doc_id AS chapter, unnest(range(doc_id, doc_id + 10)) AS page FROM documents WHERE doc_id % 10 = 0 AND doc_id < 200) SELECT item_id, chapter, page FROM (SELECT item_id, item_id * 7 % 200 AS page FROM benchmark) n JOIN c USING (page)",
+    "note_injection": "WITH s AS (SELECT doc_id // 10 AS chapter, min(doc_id) AS a, max(doc_id) AS b FROM documents GROUP BY 1), c AS (SELECT chapter, unnest(range(a, b + 1)) AS page FROM s) SELECT item_id, chapter, page FROM (SELECT item_id, item_id * 7 % 200 AS page FROM benchmark) n JOIN c USING (page)",
 }

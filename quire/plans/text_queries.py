@@ -37,7 +37,7 @@ def char_class_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stable_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
-    title = F.substring("text", 1, 40)
+    title = F.split("text", "\n")[0]
     return docs(spark, sf_dir).select("doc_id", T.content_id("note", F.col("doc_id"), F.col("source"), F.col("text")).alias("content_id"), T.chapter_id(F.col("doc_id") % 1000, title).alias("chapter_id"),
                                       T.fingerprint("v1", F.lit("[]"), F.col("lang"), F.col("text")).alias("fingerprint"), F.sha2("text", 256).alias("text_sha256"))
 
@@ -47,7 +47,7 @@ def whitespace_normalised(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def term_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return docs(spark, sf_dir).where("lang = 'en'").select("doc_id", T.term_key(F.substring("text", 1, 60)).alias("term_key"), T.slug(F.substring("text", 1, 80)).alias("slug"))
+    return docs(spark, sf_dir).select("doc_id", T.term_key(F.split("text", "\n")[0]).alias("term_key"), T.slug(F.col("text")).alias("slug"))
 
 
 def block_type_hist(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -100,14 +100,14 @@ def ingest_defects(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def chapter_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
-    titles = docs(spark, sf_dir).select("doc_id", F.concat_ws(" ", F.element_at(F.array(*[F.lit(x) for x in ("Preface", "Chapter One", "List of Maps", "Index of names", "Further Reading", "Notes on dates", "Annex")]), (F.col("doc_id") % 7 + 1).cast("int")), F.substring("text", 1, 8)).alias("title"),
+    titles = docs(spark, sf_dir).select("doc_id", F.concat_ws(" ", F.element_at(F.array(*[F.lit(x) for x in ("Preface", "Chapter One", "List of Maps", "Index of names", "Further Reading", "Notes on dates", "Annex")]), (F.col("doc_id") % 7 + 1).cast("int")), F.split("text", "\n")[0]).alias("title"),
                                       F.when(F.col("doc_id") % 2 == 0, "body").otherwise("references").alias("majority"))
     kinds = titles.withColumn("kind", P.chapter_kind(F.col("title"), F.col("majority")))
     return kinds.withColumn("translate", P.translatable(F.col("kind"), F.lit(None).cast("boolean"), F.lit(False), F.lit(False))).groupBy("kind", "translate").agg(F.count("*").alias("n"), F.sum("doc_id").alias("ids"))
 
 
 def chapter_line_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = L.lines(docs(spark, sf_dir)).withColumn("line", F.concat(F.element_at(F.array(*[F.lit(x) for x in ("Chapter 3 ", "Part IV ", "12. A", "IX. B", "CHAPTER XI", "")]), (F.col("pos") % 6 + 1).cast("int")), F.substring("line", 1, 70)))
+    rows = L.lines(docs(spark, sf_dir)).withColumn("line", F.concat(F.element_at(F.array(*[F.lit(x) for x in ("Chapter 3 ", "Part IV ", "12. A", "IX. B", "CHAPTER XI", "")]), (F.col("pos") % 6 + 1).cast("int")), "line"))
     return rows.withColumn("c", (P.chapter_line(F.col("line")) * 100).cast("int")).groupBy("c").agg(F.count("*").alias("n")).select(F.coalesce("c", F.lit(-1)).alias("confidence_pct"), "n")
 
 
@@ -129,7 +129,7 @@ def dedupe_keep_first(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def duplicate_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each document's first earlier match: same content, else same normalised title."""
-    keyed = docs(spark, sf_dir).select("doc_id", F.sha2("text", 256).alias("content"), F.md5(T.collapse(F.lower(F.substring("text", 1, 30)))).alias("title"))
+    keyed = docs(spark, sf_dir).select("doc_id", F.sha2("text", 256).alias("content"), F.md5(T.collapse(F.split("text", "\n")[0])).alias("title"))
     same = keyed.groupBy("content").agg(F.min("doc_id").alias("first_content"))
     titled = keyed.groupBy("title").agg(F.min("doc_id").alias("first_title"))
     out = keyed.join(same, "content").join(titled, "title")
@@ -164,7 +164,7 @@ def decision_overlay(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Labels as decisions: approved text replaces the text, rejected and open ones keep it."""
     joined = docs(spark, sf_dir).join(S.table(spark, sf_dir, "labels"), "doc_id", "left")
     status = F.when(F.col("quality").isNull(), "open").when(F.col("toxic") == 1, "rejected").when(F.col("quality") == 1, "approved").otherwise("resolved")
-    shown = F.when(F.col("status").isin("approved", "resolved"), F.concat(F.lit("approved: "), F.substring("text", 1, 20))).otherwise(F.substring("text", 1, 20))
+    shown = F.when(F.col("status").isin("approved", "resolved"), F.concat(F.lit("approved: "), "text")).otherwise(F.col("text"))
     return joined.withColumn("status", status).select("doc_id", "status", F.md5(shown).alias("shown"))
 
 
@@ -198,9 +198,9 @@ ORACLES = {
     "line_cleanup_rollup": f"WITH {REPEATED}, g AS (SELECT *, repeated OR regexp_matches({LINE}, '^(?:[0-9]+|[ivxlcdmIVXLCDM]+)$') AS gone FROM r) SELECT doc_id, count(*) AS lines, sum(gone::int)::bigint AS dropped, sum(CASE WHEN gone THEN 0 ELSE length(line) END)::bigint AS kept_chars FROM g GROUP BY doc_id",
     "char_class_profile": """WITH c AS (SELECT doc_id, len(regexp_extract_all(text, '[A-Za-z]')) AS letters, len(regexp_extract_all(text, '[\\x{4E00}-\\x{9FFF}]')) AS cjk, len(regexp_extract_all(text, '[0-9]')) AS digits, len(regexp_extract_all(text, '[^ \\t\\n\\r]+')) AS words, length(text) AS chars FROM documents)
   SELECT *, CASE WHEN letters < 300 THEN false WHEN cjk < 80 AND letters > 250 THEN true WHEN chars < 1000 AND cjk >= 160 THEN false WHEN cjk >= 1000 THEN false ELSE letters / greatest(letters + cjk, 1) > 0.72 END AS untranslated, chars >= 1200 AND cjk + floor(letters * 35 / 100) < 0.18 * chars AS incomplete FROM c""",
-    "stable_ids": f"""SELECT doc_id, 'note-' || substr(sha256(concat_ws(chr(31), 'note', doc_id::varchar, source, text)), 1, 20) AS content_id, 'ch-' || lpad((doc_id % 1000)::varchar, 3, '0') || '-' || {SLUG.format("substr(text, 1, 40)")} AS chapter_id, substr(sha256(concat_ws(chr(10), 'v1', '[]', lang, text)), 1, 16) AS fingerprint, sha256(text) AS text_sha256 FROM documents""",
+    "stable_ids": f"""SELECT doc_id, 'note-' || substr(sha256(concat_ws(chr(31), 'note', doc_id::varchar, source, text)), 1, 20) AS content_id, 'ch-' || lpad((doc_id % 1000)::varchar, 3, '0') || '-' || {SLUG.format("string_split(text, chr(10))[1]")} AS chapter_id, substr(sha256(concat_ws(chr(10), 'v1', '[]', lang, text)), 1, 16) AS fingerprint, sha256(text) AS text_sha256 FROM documents""",
     "whitespace_normalised": f"""WITH c AS (SELECT doc_id, {COLLAPSE.format(f"regexp_replace(text, '{CTRL}', ' ', 'g')")} AS clean FROM documents) SELECT doc_id, length(clean) AS chars, md5(clean) AS digest FROM c""",
-    "term_keys": f"""SELECT doc_id, lower(trim(regexp_replace(regexp_replace(regexp_replace(translate(substr(text, 1, 60), '‘’“”', '''''""'), '([a-z])([A-Z0-9])', '\\1 \\2', 'g'), '[ \\t\\n]+', ' ', 'g'), '[.,;:!?]+$', ''), ' ' || chr(9) || chr(10) || chr(13))) AS term_key, {SLUG.format("substr(text, 1, 80)")} AS slug FROM documents WHERE lang = 'en'""",
+    "term_keys": f"""SELECT doc_id, lower(trim(regexp_replace(regexp_replace(regexp_replace(translate(string_split(text, chr(10))[1], '‘’“”', '''''""'), '([a-z])([A-Z0-9])', '\\1 \\2', 'g'), '[ \\t\\n]+', ' ', 'g'), '[.,;:!?]+$', ''), ' ' || chr(9) || chr(10) || chr(13))) AS term_key, {SLUG.format("text")} AS slug FROM documents""",
     "block_type_hist": f"WITH l AS ({LINES}) SELECT source, {BLOCK_TYPE} AS block_type, count(*) AS n, sum(length(line))::bigint AS chars FROM l GROUP BY ALL",
     "noise_filter": f"""WITH l AS ({LINES}), f AS (SELECT doc_id, line, {LINE} AS s FROM l), g AS (SELECT *, len(regexp_extract_all(s, '[=+*/^_<>|]')) AS sy, len(regexp_extract_all(s, '[A-Za-z0-9]')) AS al FROM f)
   SELECT doc_id, sum(((length(s) <= 1 AND sy > 0) OR (length(s) <= 12 AND sy > 0 AND NOT regexp_matches(s, '[A-Za-z]{{2}}')) OR (length(s) <= 24 AND sy >= greatest(2, al)))::int)::bigint AS formula, sum(regexp_matches(line, '^(?:[0-9]+|\\*|†|‡)[ \\t]+')::int)::bigint AS note,
@@ -218,21 +218,21 @@ ORACLES = {
     "chunk_estimates": PACK.format(1200) + ", n AS (SELECT doc_id, count(*) AS c FROM packed GROUP BY 1) SELECT source, count(*) AS chapters, sum(chars)::bigint AS chars, sum(c)::bigint AS chunks, max(c) AS most FROM l JOIN n USING (doc_id) GROUP BY source",
     "segment_plan": PACK.format(800) + "SELECT doc_id, count(*) AS segments, doc_id::varchar || ':seg' || lpad(count(*)::varchar, 4, '0') AS last_id, sum(parts)::bigint AS lines FROM packed GROUP BY doc_id",
     "ingest_defects": f"SELECT defect, sum(n)::bigint AS n, count(*) AS docs, max(blocking) AS blocking FROM ({DEFECT_SQL}) WHERE n > 0 GROUP BY defect",
-    "chapter_kinds": f"""WITH t AS (SELECT doc_id, (['Preface','Chapter One','List of Maps','Index of names','Further Reading','Notes on dates','Annex'])[(doc_id % 7 + 1)::int] || ' ' || substr(text, 1, 8) AS title, CASE WHEN doc_id % 2 = 0 THEN 'narrative' ELSE 'bibliography' END AS byp FROM documents), k AS (SELECT doc_id, CASE {HINTS} ELSE byp END AS kind FROM t)
+    "chapter_kinds": f"""WITH t AS (SELECT doc_id, (['Preface','Chapter One','List of Maps','Index of names','Further Reading','Notes on dates','Annex'])[(doc_id % 7 + 1)::int] || ' ' || string_split(text, chr(10))[1] AS title, CASE WHEN doc_id % 2 = 0 THEN 'narrative' ELSE 'bibliography' END AS byp FROM documents), k AS (SELECT doc_id, CASE {HINTS} ELSE byp END AS kind FROM t)
   SELECT kind, kind NOT IN ('cover','toc','apparatus','bibliography','index','appendix') AS translate, count(*) AS n, sum(doc_id)::bigint AS ids FROM k GROUP BY ALL""",
-    "chapter_line_scan": f"""WITH l AS ({LINES}), m AS (SELECT (['Chapter 3 ','Part IV ','12. A','IX. B','CHAPTER XI',''])[(pos % 6 + 1)::int] || substr(line, 1, 70) AS line FROM l), s AS (SELECT {LINE} AS s FROM m),
+    "chapter_line_scan": f"""WITH l AS ({LINES}), m AS (SELECT (['Chapter 3 ','Part IV ','12. A','IX. B','CHAPTER XI',''])[(pos % 6 + 1)::int] || line AS line FROM l), s AS (SELECT {LINE} AS s FROM m),
   c AS (SELECT CASE WHEN length(s) > 100 THEN -1 WHEN regexp_matches(s, '^(?i:chapter)[ \\t]+[0-9]+') THEN 90 WHEN regexp_matches(s, '^(?i:chapter)[ \\t]+[IVXLCDM]+') THEN 90 WHEN regexp_matches(s, '^(?i:part)[ \\t]+(?:[0-9]+|[IVXLCDM]+)') THEN 85 WHEN regexp_matches(s, '^[0-9]{{1,2}}[.][ \\t]+[A-Z]') THEN 80 WHEN regexp_matches(s, '^[IVXLCDM]+[.][ \\t]+[A-Z]') THEN 70 WHEN regexp_matches(s, '^[A-Z][A-Z ]{{4,60}}$') THEN 50 ELSE -1 END AS confidence_pct FROM s) SELECT confidence_pct, count(*) AS n FROM c GROUP BY 1""",
     "input_gate": """WITH m AS (SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN 'book' WHEN 1 THEN 'magazine' ELSE 'auto' END AS profile, doc_id % 2000 AS pages, length(text) * 40000 / 1048576.0 AS mb, length(text) AS chars, doc_id % 900 AS images FROM documents), g AS (SELECT * FROM (VALUES ('auto', 160, 320, 40.0, 80.0), ('magazine', 140, 220, 50.0, 100.0), ('book', 800, 1500, 60.0, 120.0)) v(profile, wp, mp, wm, mm)),
   r AS (SELECT doc_id, CASE WHEN pages > mp THEN 'too_many_pages' WHEN mb > mm THEN 'too_large' WHEN chars < greatest(400, 30 * pages) AND images >= greatest(12, pages) THEN 'image_only' END AS reason, pages > least(wp, 0.8 * mp) OR mb > least(wm, mm) AS warn FROM m JOIN g USING (profile)) SELECT doc_id, coalesce(reason, 'ok') AS gate, reason IS NULL AS gate_ok, warn FROM r""",
     "bounded_samples": """WITH t AS (SELECT source, doc_id, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS n FROM documents QUALIFY n <= 5), i AS (SELECT *, doc_id - n AS island FROM t), r AS (SELECT source, min(doc_id) AS a, max(doc_id) AS b FROM i GROUP BY source, island)
   SELECT source, string_agg(CASE WHEN a = b THEN a::varchar ELSE a || '-' || b END, ', ' ORDER BY a) AS ranges, (SELECT string_agg(doc_id::varchar, ',' ORDER BY doc_id) FROM t WHERE t.source = r.source) AS ids FROM r GROUP BY source""",
     "dedupe_keep_first": "SELECT sha256(text) AS content, min(doc_id) AS doc_id, count(*) AS copies FROM documents GROUP BY 1",
-    "duplicate_match": f"""WITH k AS (SELECT doc_id, sha256(text) AS c, md5({COLLAPSE.format("lower(substr(text, 1, 30))")}) AS t FROM documents), m AS (SELECT doc_id, min(doc_id) OVER (PARTITION BY c) AS fc, min(doc_id) OVER (PARTITION BY t) AS ft FROM k) SELECT doc_id, CASE WHEN fc < doc_id THEN fc ELSE ft END AS match, CASE WHEN fc < doc_id THEN 'content' ELSE 'title' END AS reason FROM m WHERE fc < doc_id OR ft < doc_id""",
+    "duplicate_match": f"""WITH k AS (SELECT doc_id, sha256(text) AS c, md5({COLLAPSE.format("string_split(text, chr(10))[1]")}) AS t FROM documents), m AS (SELECT doc_id, min(doc_id) OVER (PARTITION BY c) AS fc, min(doc_id) OVER (PARTITION BY t) AS ft FROM k) SELECT doc_id, CASE WHEN fc < doc_id THEN fc ELSE ft END AS match, CASE WHEN fc < doc_id THEN 'content' ELSE 'title' END AS reason FROM m WHERE fc < doc_id OR ft < doc_id""",
     "profile_keywords": """WITH h AS (SELECT source, sum(contains(lower(text), 'thinal')::int + contains(lower(text), 'hist')::int + contains(lower(text), 'war')::int)::bigint AS humanities, sum(contains(lower(text), 'mark')::int + contains(lower(text), 'tion')::int + contains(lower(text), 'thstand')::int)::bigint AS social, sum(contains(lower(text), 'theor')::int + contains(lower(text), 'tabl')::int + contains(lower(text), 'enorm')::int)::bigint AS science FROM documents GROUP BY source),
   r AS (SELECT *, list_sort([{'s': -humanities, 'k': 'humanities'}, {'s': -social, 'k': 'social'}, {'s': -science, 'k': 'science'}]) AS x FROM h) SELECT source, humanities, social, science, x[1].k AS profile, x[2].s - x[1].s AS margin FROM r""",
     "grouping_sets_report": "SELECT coalesce(lang, '*') AS lang, coalesce(source, '*') AS source, count(*) AS cases, sum(quality)::bigint AS passed, grouping(lang, source)::bigint AS level FROM documents JOIN labels USING (doc_id) GROUP BY GROUPING SETS ((lang), (source), ())",
     "storage_stats": "SELECT count(d.doc_id) AS books, sum(strlen(text))::bigint AS bytes, sum((l.doc_id IS NULL)::int)::bigint AS unlabelled, sum((d.doc_id IS NULL)::int)::bigint AS orphans FROM documents d FULL JOIN labels l ON d.doc_id = l.doc_id",
-    "decision_overlay": "WITH s AS (SELECT d.doc_id, text, CASE WHEN quality IS NULL THEN 'open' WHEN toxic = 1 THEN 'rejected' WHEN quality = 1 THEN 'approved' ELSE 'resolved' END AS status FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id) SELECT doc_id, status, md5(CASE WHEN status IN ('approved', 'resolved') THEN 'approved: ' || substr(text, 1, 20) ELSE substr(text, 1, 20) END) AS shown FROM s",
+    "decision_overlay": "WITH s AS (SELECT d.doc_id, text, CASE WHEN quality IS NULL THEN 'open' WHEN toxic = 1 THEN 'rejected' WHEN quality = 1 THEN 'approved' ELSE 'resolved' END AS status FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id) SELECT doc_id, status, md5(CASE WHEN status IN ('approved', 'resolved') THEN 'approved: ' || text ELSE text END) AS shown FROM s",
     "benchmark_containment": """WITH s AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(text), '[ \\t\\n\\r]+'), lambda x: x <> '') AS w FROM documents), b AS (SELECT item_id, list_filter(regexp_split_to_array(lower(text), '[ \\t\\n\\r]+'), lambda x: x <> '') AS w FROM benchmark),
   sg AS (SELECT DISTINCT doc_id, array_to_string(w[i:i+7], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 6)) AS i FROM s WHERE len(w) >= 8)), bg AS (SELECT DISTINCT item_id, array_to_string(w[i:i+7], ' ') AS g FROM (SELECT item_id, w, unnest(range(1, len(w) - 6)) AS i FROM b WHERE len(w) >= 8)) SELECT doc_id, item_id, count(*) AS shared FROM sg JOIN bg USING (g) GROUP BY ALL""",
 }
