@@ -91,4 +91,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f fo
     op1_chat_formatting, op2_simhash, op3_ivf_pq, op4_minimax_sharding, op5_bit_sliced_topk,
     op6_best_fit_packing, op7_language_id, op8_huffman_ids, op9_mixing, op10_toxicity)}
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op1_chat_formatting": f"""WITH t AS (SELECT conv_id, turn, coalesce(role, '') AS r, coalesce(text, '') AS x FROM conversations UNION ALL VALUES (-1, 0, 'user', '{CONTROL_TEXT}'), (-1, 1, 'assistant', '{CONTROL_TEXT}'))
+ SELECT conv_id, count(*) AS n_turns, sha256(string_agg(r || chr(10) || x || chr(10), '' ORDER BY turn)) AS turns_sha256, coalesce(sum(length(x)) FILTER (WHERE r = 'assistant'), 0)::bigint AS loss_chars, sha256(coalesce(string_agg(x, '' ORDER BY turn) FILTER (WHERE r = 'assistant'), '')) AS loss_sha256,
+ sum(24 + length(r) + length(regexp_replace(x, '<(\\\\*)\\|(im_start|im_end)\\|>', '<\\1\\\\|\\2|>', 'g')))::bigint AS formatted_chars FROM t GROUP BY conv_id""",
+    "op5_bit_sliced_topk": """WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::double)) AS v FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0)
+ SELECT q.vec_id AS query_id, row_number() OVER (PARTITION BY q.vec_id ORDER BY list_inner_product(q.v, v.v) DESC, v.vec_id)::int AS rank, v.vec_id, list_inner_product(q.v, v.v)::bigint AS score FROM v JOIN v AS q ON q.vec_id % 50 = 0 AND q.vec_id <> v.vec_id QUALIFY rank <= 5""",
+}
