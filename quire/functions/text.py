@@ -139,3 +139,40 @@ def page_ranges(pages: Column) -> Column:
     zero = F.expr("array(struct(cast(null as bigint) as a, cast(null as bigint) as b))")
     grown = F.aggregate(F.array_sort(F.array_distinct(pages)), zero, lambda acc, p: F.when(F.element_at(acc, -1)["b"] == p - 1, F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(F.struct(F.element_at(acc, -1)["a"].alias("a"), p.cast("bigint").alias("b"))))).otherwise(F.concat(acc, F.array(F.struct(p.cast("bigint").alias("a"), p.cast("bigint").alias("b"))))))
     return F.array_join(F.transform(F.filter(grown, lambda r: r["a"].isNotNull()), lambda r: F.when(r["a"] == r["b"], r["a"].cast("string")).otherwise(F.concat_ws("-", r["a"], r["b"]))), ", ")
+
+
+def without_watermarks(c: Column, marks: str = r"(?i)(?:oceanofpdf|z-lib|libgen)[a-z.]*") -> Column:
+    """Lines that are only a scrape site's mark or a stray rule go; marks inside lines are cut out."""
+    kept = F.filter(F.split(c, "\n"), lambda x: ~strip(x).rlike(rf"^(?:#+\s*)?(?:{marks}|[-_*=]{{3,}})$"))
+    return F.regexp_replace(F.array_join(kept, "\n"), marks, "")
+
+
+def without_repeated_headings(c: Column) -> Column:
+    """A heading that equals the one before, with only blanks between, goes (C08): a fold that keeps the last line."""
+    zero = F.expr("struct(array('') as out, '' as last)")
+
+    def put(acc: Column, x: Column) -> Column:
+        s = F.lower(strip(x))
+        again = s.rlike("^#{1,6} ") & (s == acc["last"])
+        return F.struct(F.when(again, acc["out"]).otherwise(F.concat(acc["out"], F.array(x))).alias("out"), F.when(s == "", acc["last"]).otherwise(s).alias("last"))
+
+    out = F.aggregate(F.split(c, "\n"), zero, put)["out"]
+    return F.array_join(F.slice(out, 2, F.size(out)), "\n")
+
+
+def cover_only(c: Column) -> Column:
+    """The first image of a cover, nothing else."""
+    return F.regexp_extract(c, r"(!\[[^\]]*\]\([^)]*\))", 1)
+
+
+def exclusion_keys(*fields: Column) -> Column:
+    """Titles, authors and publishers, whole and in parts of four characters or more."""
+    given = F.filter(F.array(*fields), lambda x: x.isNotNull())
+    parts = F.flatten(F.transform(given, lambda x: F.concat(F.array(x), F.split(x, r"\s*[:—–|-]\s*"))))
+    return F.array_sort(F.array_distinct(F.filter(F.transform(parts, term_key), lambda x: F.length(x) >= 4)))
+
+
+def for_translation(title: Column, markdown: Column) -> Column:
+    """A chapter's text under its title, image paths relative, placeholder titles left out."""
+    body = F.regexp_replace(markdown, r"\]\((?:/[^)]*/|\./)?(images/[^)]*)\)", "]($1)")
+    return F.when(title.isNull() | title.rlike(r"(?i)^(?:untitled|chapter [0-9]+|section [0-9]+)$"), body).otherwise(F.concat(F.lit("# "), title, F.lit("\n\n"), body))
