@@ -5,7 +5,7 @@ pieces and a rest. Full pieces are sequences of their own. The others are dealt
 `GROUP` pieces, and each group is packed by itself: best fit in decreasing order, then local search.
 The search takes the least filled bin and moves its pieces into others, or exchanges one for one, two for
 one or one for two, whenever that raises the sum of squared fills, until the bin is empty or nothing
-raises it. It ends at the lower bound or when no bin can be emptied. The underfull bins of all groups are then
+raises it. It ends at the lower bound or when several of the least filled bins in a row couldn't be emptied. The underfull bins of all groups are then
 packed once more among each other, so that groups cost no more than a few bins.
 
 Null or empty text: the end id alone. Repeated rows are pieces of their own. An empty table gives none.
@@ -28,6 +28,8 @@ from quire.llm.tokens import pieces, tokenizer_path
 
 #: Pieces of a group, and the fill under which a bin is packed again.
 GROUP, LOOSE = 16384, 0.97
+#: The search ends when so many of the least filled bins in a row can't be emptied.
+PATIENCE = 200
 
 
 def tokenize(docs: DataFrame, capacity: int = 4096, end_id: int = 1, vocabulary: str | None = None, with_ids: bool = False) -> DataFrame:
@@ -60,6 +62,7 @@ class Bins:
         self.bins: list[list[int]] = []
         self.fill: list[int] = []
         self.least = -(-sum(lengths) // capacity)
+        self.known: dict[int, tuple] = {}
 
     def best_fit(self) -> None:
         """Longest first, each into the fullest bin that has room."""
@@ -84,25 +87,27 @@ class Bins:
                 by_room.setdefault(room, []).append(b)
                 rooms |= 1 << room
 
+    def _parts(self, b: int) -> tuple[np.ndarray, np.ndarray, list[list[int]]]:
+        """What bin b can give: nothing, one piece or two, as sums and as pieces; remembered until the bin changes."""
+        if b not in self.known:
+            items = self.bins[b]
+            choices = [[], *([x] for x in items), *([x, y] for k, x in enumerate(items) for y in items[k + 1 :])]
+            self.known[b] = np.array([sum(self.lengths[x] for x in c) for c in choices], np.int64), np.array([len(c) for c in choices]), choices
+        return self.known[b]
+
     def _exchange(self, s: int, t: int) -> tuple[list[int], list[int]] | None:
-        """What of bin s to give for what of bin t, so that t gets as full as it can; None if t can't gain."""
-        room, best, found = self.capacity - self.fill[t], 0, None
-        mine, theirs, n = self.bins[s], self.bins[t], self.lengths
-        gives = [[a] for a in mine] + [[a, b] for k, a in enumerate(mine) for b in mine[k + 1 :]]
-        for give in gives:
-            g = sum(n[x] for x in give)
-            takes = [[]] if len(give) == 1 else []
-            takes += [[x] for x in theirs]
-            if len(give) == 1:
-                takes += [[x, y] for k, x in enumerate(theirs) for y in theirs[k + 1 :]]
-            for take in takes:
-                gain = g - sum(n[x] for x in take)
-                # the sum of squares rises if t stays the fuller of the two, or becomes it
-                if best < gain <= room and self.fill[t] + gain > self.fill[s]:
-                    best, found = gain, (give, take)
-                    if gain == room:
-                        return found
-        return found
+        """What of bin s to give for what of bin t, so that t gets as full as it can; None if t can't gain.
+        Moves, one for one, two for one and one for two."""
+        room = self.capacity - self.fill[t]
+        gives, n_gives, give = self._parts(s)
+        takes, n_takes, take = self._parts(t)
+        gain = gives[1:, None] - takes[None, :]
+        # the sum of squares rises if t stays the fuller of the two, or becomes it
+        fits = (gain > max(0, self.fill[s] - self.fill[t])) & (gain <= room) & (n_gives[1:, None] + n_takes[None, :] <= 3) & ((n_gives[1:, None] == 1) | (n_takes[None, :] == 1))
+        if not fits.any():
+            return None
+        i, j = divmod(int(np.where(fits, gain, 0).argmax()), len(takes))
+        return give[i + 1], take[j]
 
     def local_search(self) -> None:
         """Empty bins by exchanges that raise the sum of squared fills. Each accepted exchange raises it, so this ends."""
@@ -111,7 +116,7 @@ class Bins:
         while live > self.least:
             open_bins = [b for b in range(len(self.bins)) if self.bins[b] and self.fill[b] < self.capacity]
             sources = [b for b in open_bins if b not in stuck]
-            if not sources or len(open_bins) < 2:
+            if not sources or len(open_bins) < 2 or len(stuck) >= PATIENCE:
                 return
             s = min(sources, key=lambda b: (self.fill[b], b))
             changed = False
@@ -123,14 +128,16 @@ class Bins:
                     self.bins[t] = [x for x in self.bins[t] if x not in take] + give
                     self.fill[s] -= moved
                     self.fill[t] += moved
+                    self.known.pop(s, None)
+                    self.known.pop(t, None)
                     changed = True
                 if not self.bins[s]:
                     live -= 1
                     break
-            if changed:
-                stuck.clear()
-            if not changed or self.bins[s]:
+            if self.bins[s]:
                 stuck.add(s)
+            elif changed:
+                stuck.clear()
 
 
 def pack(lengths: list[int], capacity: int) -> tuple[list[int], list[int], list[int]]:
