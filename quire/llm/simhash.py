@@ -10,6 +10,10 @@ the first two segments are equal, and the first five differ in one bit at most,
 fifth are equal too. Each fingerprint gets 8 * 3 keys of 4 equal segments (32 bits); within a key, pairs
 are pruned by the whole chain before the full check.
 
+With `families` above 1, further fingerprints are made from the same shingles with remixed hashes, and a pair
+is linked if any family's fingerprints are within 3 bits. Measured on edited copies with five-word shingles, one
+family finds 14 % of pairs at a similarity of 0.9 and 43 % at 0.95, eight find 69 % and 99 %.
+
 Equal fingerprints are one node, so groups of copies cost one row. A key's fingerprints are streamed; each
 connected part found under a key gives one edge a member to its least, so edges stay linear in the rows.
 Keys with more than `BUCKET` fingerprints are dealt again as pairs of blocks over many tasks: nothing is
@@ -36,10 +40,21 @@ BITS, SEGMENTS, TAU, SEED = 64, 8, 3, 42
 BUCKET = 2048
 
 
-def fingerprint(text: str | None, n_words: int = 3) -> int:
+def remixed(hashes: np.ndarray, family: int) -> np.ndarray:
+    """Another hash of the same shingles; family 0 is XXH64 itself."""
+    if not family:
+        return hashes
+    with np.errstate(over="ignore"):
+        x = (hashes ^ np.uint64(0x9E3779B97F4A7C15 * family & (1 << 64) - 1)) * np.uint64(0xBF58476D1CE4E5B9)
+        x = (x ^ (x >> np.uint64(29))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(32))
+
+
+def fingerprint(text: str | None, n_words: int = 3, families: int = 1) -> list[int]:
+    """One fingerprint for each family."""
     words = (text or "").encode("utf-8", "surrogatepass").translate(LOWER).split()
     if not words:
-        return 0
+        return [0] * families
     joined, n = b" ".join(words), len(words)
     if n < n_words:
         hashes = [xxhash.xxh64_intdigest(joined, SEED)]
@@ -49,27 +64,35 @@ def fingerprint(text: str | None, n_words: int = 3) -> int:
         starts = ends - lengths
         digest = xxhash.xxh64_intdigest
         hashes = [digest(joined[a:b], SEED) for a, b in zip(starts[: n - n_words + 1].tolist(), ends[n_words - 1 :].tolist(), strict=True)]
-    counts = np.zeros(BITS, np.int64)
-    for at in range(0, len(hashes), 65536):
-        part = np.array(hashes[at : at + 65536], dtype=">u8").view(np.uint8).reshape(-1, 8)
-        counts += np.unpackbits(part, axis=1).sum(axis=0, dtype=np.int64)
-    return int.from_bytes(np.packbits(counts * 2 > len(hashes)).tobytes(), "big")
+    out = []
+    for family in range(families):
+        counts = np.zeros(BITS, np.int64)
+        for at in range(0, len(hashes), 65536):
+            part = remixed(np.array(hashes[at : at + 65536], np.uint64), family).astype(">u8").view(np.uint8).reshape(-1, 8)
+            counts += np.unpackbits(part, axis=1).sum(axis=0, dtype=np.int64)
+        out.append(int.from_bytes(np.packbits(counts * 2 > len(hashes)).tobytes(), "big"))
+    return out
 
 
 #: A-Z to a-z, all other bytes as they are.
 LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", n_words: int = 3) -> DataFrame:
-    """id_col and fp (the fingerprint as a signed long). Row by row, no shuffle."""
-    kind = dict(docs.dtypes)[id_col]
+def fingerprints(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), n_words: int = 3, families: int = 1) -> DataFrame:
+    """The columns in `keep`, and fp, fp1, ... (a family's fingerprint as a signed long). Row by row, no shuffle."""
+    names = _families(families)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = np.array([fingerprint(t.as_py(), n_words) for t in batch["text"]], dtype=np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch[id_col], pa.array(found)], names=[id_col, "fp"])
+            found = np.array([fingerprint(t.as_py(), n_words, families) for t in batch["text"]], dtype=np.uint64).reshape(-1, families).view(np.int64)
+            yield pa.RecordBatch.from_arrays([*(batch[c] for c in keep), *(pa.array(found[:, k]) for k in range(families))], names=[*keep, *names])
 
-    return docs.select(id_col, "text").mapInArrow(run, f"`{id_col}` {kind}, fp long")
+    kinds = [f"`{c}` {t}" for c, t in docs.select(*keep).dtypes]
+    return docs.select(*keep, "text").mapInArrow(run, ", ".join([*kinds, *(f"{x} long" for x in names)]))
+
+
+def _families(n: int) -> list[str]:
+    return ["fp", *(f"fp{k}" for k in range(1, n))]
 
 
 def _chains() -> list[tuple[int, tuple[int, ...]]]:
@@ -78,11 +101,11 @@ def _chains() -> list[tuple[int, tuple[int, ...]]]:
 
 
 def _keys() -> F.Column:
-    """An array of each fingerprint's keys: the chain's number above its 4 equal segments."""
+    """An array of each fingerprint's keys: the family's and chain's number above its 4 equal segments."""
     seg = lambda s: F.shiftrightunsigned(F.col("fp"), 8 * (SEGMENTS - 1 - s)).bitwiseAND(F.lit(255).cast("long"))
     out = []
     for n, (_, equal) in enumerate(_chains()):
-        key = F.lit(n).cast("long")
+        key = F.col("family").cast("long") * len(_chains()) + n
         for s in equal:
             key = F.shiftleft(key, 8).bitwiseOR(seg(s))
         out.append(key)
@@ -122,12 +145,12 @@ def stars(fps: np.ndarray, first: int) -> list[tuple[int, int]]:
     return out
 
 
+#: An edge: a, b and its family; or a member of a large key: a, null and the key.
 _EDGES = "a long, b long, key long"
 
 
 def _runs(most: int) -> object:
-    """Streams (key, fp) sorted by key: edges (a, b, null) of each key, or its members (fp, null, key) if they
-    are more than `most`."""
+    """Streams (key, fp) sorted by key: the edges of each key, or its members if they are more than `most`."""
     chains = _chains()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -141,7 +164,8 @@ def _runs(most: int) -> object:
             if held_key is None or large or n < 2:
                 return []
             fps = np.unique(np.concatenate(held))
-            return [(a, b, None) for a, b in stars(fps, chains[held_key[0] >> 32][0])]
+            family, chain = divmod(held_key[0] >> 32, len(chains))
+            return [(a, b, family) for a, b in stars(fps, chains[chain][0])]
 
         for batch in batches:
             names = [c for c in batch.schema.names if c != "fp"]
@@ -177,40 +201,64 @@ def _runs(most: int) -> object:
 
 
 def links(fps: DataFrame, bucket: int = BUCKET) -> DataFrame:
-    """Edges (a, b) that connect all distinct fingerprints (fp) within 3 bits of each other, transitively."""
-    keyed = fps.select("fp", F.explode(_keys()).alias("key"))
+    """Edges (a, b, family) that connect all distinct fingerprints (fp, in families if there is such a column)
+    within 3 bits of each other, transitively."""
+    family = F.col("family") if "family" in fps.columns else F.lit(0)
+    keyed = fps.select("fp", family.alias("family")).select("fp", F.explode(_keys()).alias("key"))
     found = staged(keyed.repartition("key").sortWithinPartitions("key").mapInArrow(_runs(bucket), _EDGES), "links")
-    edges, members = found.where("key is null").select("a", "b"), found.where("key is not null").select("key", F.col("a").alias("fp"))
-    if members.isEmpty():
-        return edges
-    blocks = members.groupBy("key").agg(F.ceil(F.count("*") * 2 / F.lit(bucket)).cast("int").alias("n"))
-    dealt = members.join(blocks, "key").withColumn("block", F.pmod(F.xxhash64("fp"), F.col("n")).cast("int"))
-    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n") - 1))).select("key", F.least("block", "other").cast("long").alias("i"), F.greatest("block", "other").cast("long").alias("j"), "fp")
-    pairs = dealt.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(_runs(1 << 30), _EDGES)
-    return edges.unionAll(pairs.select("a", "b"))
+    edges, members = found.where("b is not null"), found.where("b is null").select("key", F.col("a").alias("fp"))
+    if not members.isEmpty():
+        blocks = members.groupBy("key").agg(F.ceil(F.count("*") * 2 / F.lit(bucket)).cast("int").alias("n"))
+        dealt = members.join(blocks, "key").withColumn("block", F.pmod(F.xxhash64("fp"), F.col("n")).cast("int"))
+        dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n") - 1))).select("key", F.least("block", "other").cast("long").alias("i"), F.greatest("block", "other").cast("long").alias("j"), "fp")
+        edges = edges.unionAll(dealt.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(_runs(1 << 30), _EDGES))
+    return edges.select("a", "b", F.col("key").alias("family"))
+
+
+def _edges(prints: DataFrame, families: int) -> DataFrame:
+    """Edges between first fingerprints that any family links: those with an equal fingerprint of it, and the
+    least ones behind two linked fingerprints."""
+    if families == 1:
+        return links(prints.select("fp").distinct()).select("a", "b")
+    every = F.array(*_families(families))
+    views = staged(prints.select(*_families(families)).distinct().select(F.col("fp").alias("node"), F.posexplode(every).alias("family", "fp")).distinct(), "views")
+    least = staged(views.groupBy("family", "fp").agg(F.min("node").alias("least")), "least")
+    equal = views.join(least, ["family", "fp"]).where("least <> node").select(F.col("least").alias("a"), F.col("node").alias("b"))
+    one, two = least.select("family", F.col("fp").alias("a"), F.col("least").alias("na")), least.select("family", F.col("fp").alias("b"), F.col("least").alias("nb"))
+    return equal.unionAll(links(least.select("family", "fp")).join(one, ["family", "a"]).join(two, ["family", "b"]).select("na", "nb"))
+
+
+def _grouped(docs: DataFrame, keep: tuple[str, ...], n_words: int, families: int) -> DataFrame:
+    """The columns in `keep`, fp, and part: the least fingerprint reachable over links."""
+    small_batches(docs.sparkSession)
+    prints = staged(fingerprints(docs, keep, n_words, families), "fingerprints")
+    parts = components(_edges(prints, families))
+    return prints.select(*keep, "fp").join(parts.withColumnRenamed("node", "fp"), "fp", "left").select(*keep, "fp", F.coalesce("component", "fp").alias("part"))
 
 
-def near_duplicates(docs: DataFrame, n_words: int = 3) -> DataFrame:
+def near_duplicates(docs: DataFrame, n_words: int = 3, families: int = 1) -> DataFrame:
     """doc_id, fingerprint (16 hex digits), component_id (least doc_id reachable over links)."""
-    small_batches(docs.sparkSession)
-    prints = staged(fingerprints(docs, "doc_id", n_words), "fingerprints")
-    nodes = staged(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "nodes")
-    parts = components(links(nodes.select("fp")))
-    joined = nodes.join(parts, nodes["fp"] == parts["node"], "left").select("fp", "least", F.coalesce("component", "fp").alias("part"))
-    least = joined.groupBy("part").agg(F.min("least").alias("component_id"))
-    labelled = joined.join(least, "part").select("fp", "component_id")
-    return prints.join(labelled, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
-
-
-def drop_near_duplicates(docs: DataFrame, n_words: int = 3) -> DataFrame:
-    """`docs` with one row of each group, that of the least doc_id, with all its columns.
-    Repeated rows of one doc_id are one group, of which the first that is met stays."""
-    found = staged(near_duplicates(docs, n_words).groupBy("doc_id").agg(F.min("component_id").alias("component_id"), F.count("*").alias("n")), "groups")
-    gone = found.where("not (doc_id <=> component_id)").select(F.col("doc_id").alias("_gone"))
-    kept = docs.join(gone, docs["doc_id"].eqNullSafe(gone["_gone"]), "left_anti")
-    again = found.where("n > 1 and doc_id <=> component_id").select(F.col("doc_id").alias("_again"))
+    rows = staged(_grouped(docs, ("doc_id",), n_words, families), "groups")
+    least = rows.groupBy("part").agg(F.min("doc_id").alias("component_id"))
+    return rows.join(least, "part").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+def drop_near_duplicates(docs: DataFrame, n_words: int = 3, families: int = 1) -> DataFrame:
+    """`docs` with one row of each group, with all its columns: that of the least doc_id (null ids last; ties: the
+    least hash of the text). A row is known by its doc_id and text; of rows that are equal in both, one stays."""
+    keyed = docs.select("doc_id", "text", F.xxhash64("text").alias("_text"))
+    rows = staged(_grouped(keyed, ("doc_id", "_text"), n_words, families), "groups")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("z"), F.col("doc_id").alias("d"), F.col("_text").alias("t")))
+    each = rows.groupBy("doc_id", "_text").agg(F.min("part").alias("part"), F.count("*").alias("n"))
+    found = staged(each.join(rows.groupBy("part").agg(first.alias("first")), "part").select("doc_id", "_text", "n", (F.col("first.d").eqNullSafe(F.col("doc_id")) & (F.col("first.t") == F.col("_text"))).alias("stays")), "kept")
+
+    def only(df: DataFrame, which: DataFrame, how: str) -> DataFrame:
+        # what goes grows with the table: never broadcast, so that the plan is the same at every size
+        w = which.select(F.col("doc_id").alias("_d"), F.col("_text").alias("_t")).hint("merge")
+        return df.join(w, df["doc_id"].eqNullSafe(w["_d"]) & (F.xxhash64(df["text"]) == w["_t"]), how)
+
+    kept = only(docs, found.where("not stays"), "left_anti")
+    again = found.where("stays and n > 1")
     if again.isEmpty():
         return kept
-    once = kept.join(again, kept["doc_id"].eqNullSafe(again["_again"]), "left_anti")
-    twice = kept.join(again, kept["doc_id"].eqNullSafe(again["_again"]), "left_semi")
-    return once.unionAll(twice.dropDuplicates(["doc_id"]))
+    return only(kept, again, "left_anti").unionAll(only(kept, again, "left_semi").withColumn("_t", F.xxhash64("text")).dropDuplicates(["doc_id", "_t"]).drop("_t"))
