@@ -19,7 +19,7 @@ from quire.llm.common import held
 
 #: Pieces that a worker remembers before it keeps only those of its last batch (about 200 bytes each), the
 #: longest remembered, and the texts whose pieces are found together.
-MEMORY, LONGEST, TEXTS = 500_000, 64, 4096
+MEMORY, LONGEST, TEXTS = 350_000, 64, 4096
 #: A single space or line feed between two characters that are no white space: there, byte-level BPE cuts.
 _SPACE, _LINE = re.compile(r"(?<=\S) (?=\S)"), re.compile(r"(?<=\S)\n(?=\S)")
 _PLAIN = re.compile(r"\s\s")

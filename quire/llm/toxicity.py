@@ -244,9 +244,11 @@ def train(texts: list[str], y: np.ndarray, share: float, seed: int = 3) -> Model
     common = sorted((w for w, n in counts.items() if n >= 3), key=lambda w: (-counts[w], w))[:WORDS]
     vocabulary = {w: i + 1 for i, w in enumerate(common)}
     seen = sorted(counts)
-    number, ids = {w: i for i, w in enumerate(seen)}, np.array([vocabulary.get(w, 0) for w in seen])
-    blocks = [laid_out(np.array([number[w] for w in words]), len(seen)) for words in split]
+    number, ids = {w: i for i, w in enumerate(seen)}, np.array([vocabulary.get(w, 0) for w in seen], np.int32)
+    blocks = [laid_out(np.array([number[w] for w in words], np.int32), len(seen)) for words in split]
+    del split, number, counts
     x, doc = np.concatenate(blocks, axis=1), np.repeat(np.arange(len(blocks)), [b.shape[1] for b in blocks])
+    del blocks
     p = new_params(len(vocabulary) + 1, rng)
     adam = gru.Adam(p, RATE)
     model = Model(p, vocabulary)
@@ -284,10 +286,11 @@ def train(texts: list[str], y: np.ndarray, share: float, seed: int = 3) -> Model
 
 
 def _window_logits(model: Model, seen: list[bytes], ids: np.ndarray, x: np.ndarray) -> np.ndarray:
-    scorer = Scorer(model)
-    e, _ = inputs(model.params, seen, ids)
-    scorer.gates = np.concatenate([scorer.gates, e @ scorer.project + scorer.bias])
-    return scorer.logits(np.where(x == len(seen), 0, x + 1))
+    scorer, step = Scorer(model), 32_768
+    parts = [inputs(model.params, seen[at : at + step], ids[at : at + step])[0] @ scorer.project + scorer.bias for at in range(0, len(seen), step)]
+    scorer.gates = np.concatenate([scorer.gates, *parts])
+    del parts
+    return np.concatenate([scorer.logits(np.where(y == len(seen), 0, y + 1)) for y in (x[:, at : at + step] for at in range(0, x.shape[1], step))])
 
 
 def fit(docs: DataFrame, labels: DataFrame, per_class: int = 1500) -> Model:

@@ -30,3 +30,13 @@ def test_exact_copies_leave_one_document(spark):
     text = " ".join(f"word{i}" for i in range(50))
     docs = spark.createDataFrame([(5, text, "en", "a", 1), (3, text, "en", "b", 1), (3, text, "en", "b", 1), (9, "something else entirely", "en", "a", 1)], "doc_id long, text string, lang string, source string, n_chars long")
     assert sorted(r.doc_id for r in corpus_pipeline.near_duplicate_filter(spark, docs, DIR).collect()) == [3, 9]
+
+
+def test_staged_tables_can_be_cleared(spark):
+    from quire.llm import common
+
+    a, b = common.staged(spark.range(3), "a"), common.staged(spark.range(4), "b")
+    common.drop_staged(a)
+    assert b.count() == 4
+    common.clear_staged(spark)
+    assert not common._staged
