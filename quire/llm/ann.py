@@ -31,7 +31,7 @@ from quire.llm.common import staged
 from quire.llm.vectors import dealt, matrix, valid_vectors
 
 SAMPLE, MOST_LISTS, PARTS, CODES = 16384, 1024, 16, 256
-COVER, SHORT, CHUNK, QUERIES = 0.985, 128, 4096, 512
+COVER, SHORT, CHUNK, QUERIES = 0.96, 128, 4096, 512
 
 
 def squared(a: np.ndarray, b: np.ndarray) -> np.ndarray:
