@@ -22,10 +22,13 @@ def shared_dir(spark: SparkSession) -> str:
     return where.rstrip("/")
 
 
-def staged(df: DataFrame, name: str) -> DataFrame:
+def staged(df: DataFrame, name: str, narrow: bool = False) -> DataFrame:
     """Write `df` once as Parquet in the shared folder and read it back: lineage ends there, and
-    later passes survive lost executors without computing it anew."""
+    later passes survive lost executors without computing it anew. Narrow tables, of a few numbers a row, are
+    written in two files a core instead of one for each shuffle partition."""
     spark = df.sparkSession
+    if narrow:
+        df = df.coalesce(max(8, 2 * spark.sparkContext.defaultParallelism))
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     _staged.append(path)

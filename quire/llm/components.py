@@ -18,7 +18,7 @@ def _star(pairs: DataFrame) -> DataFrame:
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """node, component (its least member) of all nodes that `edges` (a, b) link. Rows stay linear in the
     edges; rounds grow with the logarithm of the longest chain; each round ends in a staged table."""
-    now = staged(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
+    now = staged(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges", narrow=True)
     seen = None
     for _ in range(max_rounds):
         both = now.select(F.col("a").alias("u"), F.col("b").alias("v")).unionAll(now.select(F.col("b").alias("u"), F.col("a").alias("v")))
@@ -26,7 +26,7 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         down = large.select(F.col("a").alias("u"), F.col("b").alias("v"))
         small = _star(down)
         small = small.select(F.col("v").alias("a"), F.col("m").alias("b")).unionAll(small.select(F.col("u").alias("a"), F.col("m").alias("b"))).where("a <> b").distinct()
-        after = staged(small, "edges")
+        after = staged(small, "edges", narrow=True)
         drop_staged(now)
         now = after
         state = now.agg(F.count("*"), F.sum(F.hash("a", "b").cast("long")), F.sum(F.xxhash64("a", "b") % 1_000_003)).first()

@@ -221,8 +221,8 @@ def _edges(prints: DataFrame, families: int) -> DataFrame:
     if families == 1:
         return links(prints.select("fp").distinct()).select("a", "b")
     every = F.array(*_families(families))
-    views = staged(prints.select(*_families(families)).distinct().select(F.col("fp").alias("node"), F.posexplode(every).alias("family", "fp")).distinct(), "views")
-    least = staged(views.groupBy("family", "fp").agg(F.min("node").alias("least")), "least")
+    views = staged(prints.select(*_families(families)).distinct().select(F.col("fp").alias("node"), F.posexplode(every).alias("family", "fp")).distinct(), "views", narrow=True)
+    least = staged(views.groupBy("family", "fp").agg(F.min("node").alias("least")), "least", narrow=True)
     equal = views.join(least, ["family", "fp"]).where("least <> node").select(F.col("least").alias("a"), F.col("node").alias("b"))
     one, two = least.select("family", F.col("fp").alias("a"), F.col("least").alias("na")), least.select("family", F.col("fp").alias("b"), F.col("least").alias("nb"))
     return equal.unionAll(links(least.select("family", "fp")).join(one, ["family", "a"]).join(two, ["family", "b"]).select("na", "nb"))
@@ -238,8 +238,9 @@ def _grouped(docs: DataFrame, keep: tuple[str, ...], n_words: int, families: int
 
 def near_duplicates(docs: DataFrame, n_words: int = 3, families: int = 1) -> DataFrame:
     """doc_id, fingerprint (16 hex digits), component_id (least doc_id reachable over links)."""
-    rows = staged(_grouped(docs, ("doc_id",), n_words, families), "groups")
-    least = rows.groupBy("part").agg(F.min("doc_id").alias("component_id"))
+    rows = staged(_grouped(docs, ("doc_id",), n_words, families), "groups", narrow=True)
+    # staged, so that both sides of the join are plain exchanges and a large group's rows can be split
+    least = staged(rows.groupBy("part").agg(F.min("doc_id").alias("component_id")), "least", narrow=True)
     return rows.join(least, "part").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
@@ -247,10 +248,10 @@ def drop_near_duplicates(docs: DataFrame, n_words: int = 3, families: int = 1) -
     """`docs` with one row of each group, with all its columns: that of the least doc_id (null ids last; ties: the
     least hash of the text). A row is known by its doc_id and text; of rows that are equal in both, one stays."""
     keyed = docs.select("doc_id", "text", F.xxhash64("text").alias("_text"))
-    rows = staged(_grouped(keyed, ("doc_id", "_text"), n_words, families), "groups")
+    rows = staged(_grouped(keyed, ("doc_id", "_text"), n_words, families), "groups", narrow=True)
     first = F.min(F.struct(F.col("doc_id").isNull().alias("z"), F.col("doc_id").alias("d"), F.col("_text").alias("t")))
-    each = rows.groupBy("doc_id", "_text").agg(F.min("part").alias("part"), F.count("*").alias("n"))
-    found = staged(each.join(rows.groupBy("part").agg(first.alias("first")), "part").select("doc_id", "_text", "n", (F.col("first.d").eqNullSafe(F.col("doc_id")) & (F.col("first.t") == F.col("_text"))).alias("stays")), "kept")
+    each = staged(rows.groupBy("doc_id", "_text").agg(F.min("part").alias("part"), F.count("*").alias("n")), "each", narrow=True)
+    found = staged(each.join(staged(rows.groupBy("part").agg(first.alias("first")), "first", narrow=True), "part").select("doc_id", "_text", "n", (F.col("first.d").eqNullSafe(F.col("doc_id")) & (F.col("first.t") == F.col("_text"))).alias("stays")), "kept", narrow=True)
 
     def only(df: DataFrame, which: DataFrame, how: str) -> DataFrame:
         # what goes grows with the table: never broadcast, so that the plan is the same at every size
