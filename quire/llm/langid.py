@@ -125,11 +125,11 @@ def pooled(p: dict[str, np.ndarray], runs: list[bytes]) -> np.ndarray:
     return logits.reshape(len(x), len(runs), -1).sum(axis=0)
 
 
-def chunks(run: bytes) -> list[bytes]:
-    """A run in parts of SPAN bytes at most, cut in front of a character's first byte."""
+def chunks(run: bytes, span: int = SPAN) -> list[bytes]:
+    """A run in parts of `span` bytes at most, cut in front of a character's first byte."""
     out, at = [], 0
     while at < len(run):
-        end = min(at + SPAN, len(run))
+        end = min(at + span, len(run))
         while end < len(run) and end > at + 1 and run[end] & 0xC0 == 0x80:
             end -= 1
         out.append(run[at:end])

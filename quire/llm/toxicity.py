@@ -1,7 +1,8 @@
 """Toxicity by a bidirectional gated recurrent network with attention pooling over characters and words.
 
 A step's input is the vector of its word (known words of the sample, or one for all others) plus the
-mean vector of its character trigrams (hashed), both learned. The network reads windows of `WINDOW` words from both
+mean vector of its character trigrams (hashed), both learned. Longer runs than `LONGEST` bytes are cut at
+characters into steps of that length, so every byte is read. The network reads windows of `WINDOW` words from both
 ends; attention pools its states to one logit a window. All windows of the whole text, each overlapping
 the next by half, are scored; the document's score is the calibrated largest logit.
 
@@ -28,7 +29,7 @@ from pyspark.sql.window import Window
 
 from quire.llm import gru
 from quire.llm.common import held
-from quire.llm.langid import RUNS
+from quire.llm.langid import RUNS, chunks
 
 THRESHOLD = 0.3
 WINDOW, STRIDE = 32, 16
@@ -59,12 +60,15 @@ class Model:
 
 
 def words_of(text: str | None) -> list[bytes]:
-    return (text or "").encode("utf-8", "surrogatepass").translate(RUNS).split()
+    """Runs of letters; longer ones (texts without spaces) in parts of `LONGEST` bytes, each a step of its own."""
+    words = (text or "").encode("utf-8", "surrogatepass").translate(RUNS).split()
+    if max(map(len, words), default=0) <= LONGEST:
+        return words
+    return [part for w in words for part in chunks(w, LONGEST)]
 
 
 def grams_of(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """Hashed trigrams of <word> for all words in a row, and where each word's begin; a word has as many as bytes."""
-    words = [w[:LONGEST] for w in words]
     joined = np.frombuffer(b"".join([b"<" + w + b">" for w in words]), np.uint8).astype(np.int64)
     lengths = np.fromiter(map(len, words), np.int64, len(words))
     starts = np.cumsum(lengths) - lengths
