@@ -23,7 +23,7 @@ smallest of its group unless all are null. An empty table gives an empty result.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import combinations
 
 import numpy as np
@@ -50,25 +50,31 @@ def remixed(hashes: np.ndarray, family: int) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
-def fingerprint(text: str | None, n_words: int = 3, families: int = 1) -> list[int]:
-    """One fingerprint for each family."""
+def shingle_hashes(text: str | None, n_words: int) -> np.ndarray:
+    """XXH64 of every shingle in order; none of a blank text."""
     words = (text or "").encode("utf-8", "surrogatepass").translate(LOWER).split()
-    if not words:
-        return [0] * families
     joined, n = b" ".join(words), len(words)
+    if not n:
+        return np.zeros(0, np.uint64)
     if n < n_words:
-        hashes = [xxhash.xxh64_intdigest(joined, SEED)]
-    else:
-        lengths = np.fromiter(map(len, words), np.int64, n)
-        ends = np.cumsum(lengths + 1) - 1
-        starts = ends - lengths
-        digest = xxhash.xxh64_intdigest
-        hashes = [digest(joined[a:b], SEED) for a, b in zip(starts[: n - n_words + 1].tolist(), ends[n_words - 1 :].tolist(), strict=True)]
+        return np.array([xxhash.xxh64_intdigest(joined, SEED)], np.uint64)
+    lengths = np.fromiter(map(len, words), np.int64, n)
+    ends = np.cumsum(lengths + 1) - 1
+    starts = ends - lengths
+    digest = xxhash.xxh64_intdigest
+    return np.array([digest(joined[a:b], SEED) for a, b in zip(starts[: n - n_words + 1].tolist(), ends[n_words - 1 :].tolist(), strict=True)], np.uint64)
+
+
+def fingerprint(text: str | None, n_words: int = 3, families: int = 1) -> list[int]:
+    """One fingerprint for each family."""
+    hashes = shingle_hashes(text, n_words)
+    if not len(hashes):
+        return [0] * families
     out = []
     for family in range(families):
         counts = np.zeros(BITS, np.int64)
         for at in range(0, len(hashes), 65536):
-            part = remixed(np.array(hashes[at : at + 65536], np.uint64), family).astype(">u8").view(np.uint8).reshape(-1, 8)
+            part = remixed(hashes[at : at + 65536], family).astype(">u8").view(np.uint8).reshape(-1, 8)
             counts += np.unpackbits(part, axis=1).sum(axis=0, dtype=np.int64)
         out.append(int.from_bytes(np.packbits(counts * 2 > len(hashes)).tobytes(), "big"))
     return out
@@ -245,10 +251,15 @@ def near_duplicates(docs: DataFrame, n_words: int = 3, families: int = 1) -> Dat
 
 
 def drop_near_duplicates(docs: DataFrame, n_words: int = 3, families: int = 1) -> DataFrame:
+    """`docs` with one row of each group of linked fingerprints (see `one_of_each`)."""
+    return one_of_each(docs, lambda keyed, keep: _grouped(keyed, keep, n_words, families))
+
+
+def one_of_each(docs: DataFrame, grouped: Callable[[DataFrame, tuple[str, ...]], DataFrame]) -> DataFrame:
     """`docs` with one row of each group, with all its columns: that of the least doc_id (null ids last; ties: the
     least hash of the text). A row is known by its doc_id and text; of rows that are equal in both, one stays."""
     keyed = docs.select("doc_id", "text", F.xxhash64("text").alias("_text"))
-    rows = staged(_grouped(keyed, ("doc_id", "_text"), n_words, families), "groups", narrow=True)
+    rows = staged(grouped(keyed, ("doc_id", "_text")), "groups", narrow=True)
     first = F.min(F.struct(F.col("doc_id").isNull().alias("z"), F.col("doc_id").alias("d"), F.col("_text").alias("t")))
     each = staged(rows.groupBy("doc_id", "_text").agg(F.min("part").alias("part"), F.count("*").alias("n")), "each", narrow=True)
     found = staged(each.join(staged(rows.groupBy("part").agg(first.alias("first")), "first", narrow=True), "part").select("doc_id", "_text", "n", (F.col("first.d").eqNullSafe(F.col("doc_id")) & (F.col("first.t") == F.col("_text"))).alias("stays")), "kept", narrow=True)
