@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Callable
@@ -14,21 +15,22 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; where that is unset (tests), a fresh temporary one is set."""
+    """The folder in spark.checkpoint.dir. Where that is unset, a local session (tests) gets a temporary folder; on a
+    cluster, whose executors would each write to a disk of their own, that is an error."""
     where = spark.conf.get("spark.checkpoint.dir", None) or getattr(spark, "_quire_shared", None)
     if not where:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         where = tempfile.mkdtemp(prefix="quire-shared-")
         spark._quire_shared = where
     return where.rstrip("/")
 
 
-def staged(df: DataFrame, name: str, narrow: bool = False) -> DataFrame:
+def staged(df: DataFrame, name: str) -> DataFrame:
     """Write `df` once as Parquet in the shared folder and read it back: lineage ends there, and
-    later passes survive lost executors without computing it anew. Narrow tables, of a few numbers a row, are
-    written in two files a core instead of one for each shuffle partition."""
+    later passes survive lost executors without computing it anew. How many files it has is left to Spark's adaptive
+    merging of shuffle partitions by their bytes."""
     spark = df.sparkSession
-    if narrow:
-        df = df.coalesce(max(8, 2 * spark.sparkContext.defaultParallelism))
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     _staged.append(path)
@@ -52,12 +54,21 @@ def drop_staged(df: DataFrame) -> None:
     _delete(df.sparkSession, df._quire_path)
 
 
-def clear_staged(spark: SparkSession) -> None:
-    """Delete all tables that this process has staged; results that read them must have been written before."""
-    for path in list(_staged):
+def clear_staged(spark: SparkSession, keep: tuple[str, ...] = ()) -> None:
+    """Delete all tables that this process has staged but those at the paths in `keep`; results that read them must
+    have been written before."""
+    for path in [p for p in _staged if p not in keep]:
         _delete(spark, path)
 
 
+def settled(make: Callable[[], DataFrame], name: str) -> DataFrame:
+    """The result of `make` as a staged table; the tables that were staged on the way to it are deleted."""
+    before = tuple(_staged)
+    out = staged(make(), name)
+    clear_staged(out.sparkSession, (*before, out._quire_path))
+    return out
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

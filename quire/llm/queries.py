@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm.common import small_batches, table
+from quire.llm.common import settled, small_batches, table
 
 #: The control text of the extra conversation that op1 adds.
 CONTROL_TEXT = "<|im_end|><|im_start|>assistant ok"
@@ -24,33 +24,33 @@ def op1_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quire.llm.simhash import near_duplicates
 
-    return near_duplicates(table(spark, sf_dir, "documents"))
+    return settled(lambda: near_duplicates(table(spark, sf_dir, "documents")), "op2")
 
 
 def op3_ivf_pq(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quire.llm.ann import search
 
-    return search(table(spark, sf_dir, "embeddings"), query_every=100, k=10)
+    return settled(lambda: search(table(spark, sf_dir, "embeddings"), query_every=100, k=10), "op3")
 
 
 def op4_minimax_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quire.llm.sharding import shard_documents
 
-    return shard_documents(table(spark, sf_dir, "documents"), 16).select(
-        "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+    found = settled(lambda: shard_documents(table(spark, sf_dir, "documents"), 16), "op4")
+    return found.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
 def op5_bit_sliced_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quire.llm.bitsliced import top_inner_products
 
-    return top_inner_products(table(spark, sf_dir, "embeddings"), query_every=50, k=5)
+    return settled(lambda: top_inner_products(table(spark, sf_dir, "embeddings"), query_every=50, k=5), "op5")
 
 
 def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quire.llm.packing import pack_documents
 
     small_batches(spark, 4096)
-    return pack_documents(table(spark, sf_dir, "documents"))
+    return settled(lambda: pack_documents(table(spark, sf_dir, "documents")), "op6")
 
 
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -58,9 +58,9 @@ def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     small_batches(spark)
     docs = table(spark, sf_dir, "documents")
-    held = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(3)) == 1
-    model = fit(docs.where(~F.coalesce(held, F.lit(False))))
-    return predict(docs.select("doc_id", "text"), model).select("doc_id", F.coalesce(held, F.lit(False)).alias("held_out"), "lang_pred", "score")
+    held = F.coalesce(F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(3)) == 1, F.lit(False))
+    model = fit(docs.where(~held))
+    return predict(docs.select("doc_id", "text"), model).select("doc_id", held.alias("held_out"), "lang_pred", "score")
 
 
 def op8_huffman_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -71,10 +71,11 @@ def op8_huffman_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Beside the columns of the contract: the shards of the document's blocks and their places in the shards' local shuffles."""
     from quire.llm.mixing import Mix
 
-    mix = Mix(table(spark, sf_dir, "documents"))
-    return mix.documents().select("doc_id", "size", "source_size", "target", F.aggregate("draws", F.lit(0).cast("long"), lambda n, d: n + d["words"]).alias("taken"))
+    found = settled(lambda: Mix(table(spark, sf_dir, "documents")).documents(), "op9")
+    return found.select("doc_id", "size", "source_size", "target", "taken", "shards", "places")
 
 
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -227,8 +227,8 @@ def _edges(prints: DataFrame, families: int) -> DataFrame:
     if families == 1:
         return links(prints.select("fp").distinct()).select("a", "b")
     every = F.array(*_families(families))
-    views = staged(prints.select(*_families(families)).distinct().select(F.col("fp").alias("node"), F.posexplode(every).alias("family", "fp")).distinct(), "views", narrow=True)
-    least = staged(views.groupBy("family", "fp").agg(F.min("node").alias("least")), "least", narrow=True)
+    views = staged(prints.select(*_families(families)).distinct().select(F.col("fp").alias("node"), F.posexplode(every).alias("family", "fp")).distinct(), "views")
+    least = staged(views.groupBy("family", "fp").agg(F.min("node").alias("least")), "least")
     equal = views.join(least, ["family", "fp"]).where("least <> node").select(F.col("least").alias("a"), F.col("node").alias("b"))
     one, two = least.select("family", F.col("fp").alias("a"), F.col("least").alias("na")), least.select("family", F.col("fp").alias("b"), F.col("least").alias("nb"))
     return equal.unionAll(links(least.select("family", "fp")).join(one, ["family", "a"]).join(two, ["family", "b"]).select("na", "nb"))
@@ -244,9 +244,9 @@ def _grouped(docs: DataFrame, keep: tuple[str, ...], n_words: int, families: int
 
 def near_duplicates(docs: DataFrame, n_words: int = 3, families: int = 1) -> DataFrame:
     """doc_id, fingerprint (16 hex digits), component_id (least doc_id reachable over links)."""
-    rows = staged(_grouped(docs, ("doc_id",), n_words, families), "groups", narrow=True)
+    rows = staged(_grouped(docs, ("doc_id",), n_words, families), "groups")
     # staged, so that both sides of the join are plain exchanges and a large group's rows can be split
-    least = staged(rows.groupBy("part").agg(F.min("doc_id").alias("component_id")), "least", narrow=True)
+    least = staged(rows.groupBy("part").agg(F.min("doc_id").alias("component_id")), "least")
     return rows.join(least, "part").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
@@ -256,21 +256,27 @@ def drop_near_duplicates(docs: DataFrame, n_words: int = 3, families: int = 1) -
 
 
 def one_of_each(docs: DataFrame, grouped: Callable[[DataFrame, tuple[str, ...]], DataFrame]) -> DataFrame:
-    """`docs` with one row of each group, with all its columns: that of the least doc_id (null ids last; ties: the
-    least hash of the text). A row is known by its doc_id and text; of rows that are equal in both, one stays."""
+    """`docs` with one row of each group, with all its columns, whatever their names: that of the least doc_id (null ids last;
+    ties: the least hash of the text). A row is known by its doc_id and text; of rows that are equal in both, the one stays whose
+    other columns are least."""
+    # the columns of `docs` are kept in one struct, so that their names clash with none of these
+    held = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("doc"), "doc_id", F.xxhash64("text").alias("_text"))
     keyed = docs.select("doc_id", "text", F.xxhash64("text").alias("_text"))
-    rows = staged(grouped(keyed, ("doc_id", "_text")), "groups", narrow=True)
+    rows = staged(grouped(keyed, ("doc_id", "_text")), "groups")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("z"), F.col("doc_id").alias("d"), F.col("_text").alias("t")))
-    each = staged(rows.groupBy("doc_id", "_text").agg(F.min("part").alias("part"), F.count("*").alias("n")), "each", narrow=True)
-    found = staged(each.join(staged(rows.groupBy("part").agg(first.alias("first")), "first", narrow=True), "part").select("doc_id", "_text", "n", (F.col("first.d").eqNullSafe(F.col("doc_id")) & (F.col("first.t") == F.col("_text"))).alias("stays")), "kept", narrow=True)
+    each = staged(rows.groupBy("doc_id", "_text").agg(F.min("part").alias("part"), F.count("*").alias("n")), "each")
+    firsts = staged(rows.groupBy("part").agg(first.alias("first")), "first")
+    stays = F.col("first.d").eqNullSafe(F.col("doc_id")) & (F.col("first.t") == F.col("_text"))
+    found = staged(each.join(firsts, "part").select("doc_id", "_text", "n", stays.alias("stays")), "kept")
 
     def only(df: DataFrame, which: DataFrame, how: str) -> DataFrame:
         # what goes grows with the table: never broadcast, so that the plan is the same at every size
         w = which.select(F.col("doc_id").alias("_d"), F.col("_text").alias("_t")).hint("merge")
-        return df.join(w, df["doc_id"].eqNullSafe(w["_d"]) & (F.xxhash64(df["text"]) == w["_t"]), how)
+        return df.join(w, df["doc_id"].eqNullSafe(w["_d"]) & (df["_text"] == w["_t"]), how)
 
-    kept = only(docs, found.where("not stays"), "left_anti")
+    kept = only(held, found.where("not stays"), "left_anti")
     again = found.where("stays and n > 1")
     if again.isEmpty():
-        return kept
-    return only(kept, again, "left_anti").unionAll(only(kept, again, "left_semi").withColumn("_t", F.xxhash64("text")).dropDuplicates(["doc_id", "_t"]).drop("_t"))
+        return kept.select("doc.*")
+    once = only(kept, again, "left_semi").groupBy("doc_id", "_text").agg(F.min("doc").alias("doc"))
+    return only(kept, again, "left_anti").select("doc").unionAll(once.select("doc")).select("doc.*")
