@@ -1,7 +1,9 @@
-"""Shared by the vector operators: which vectors take part, and dealing them into bounded groups."""
+"""Shared by the vector operators: which vectors take part, and meeting blocks of rows with streams of queries."""
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -20,6 +22,12 @@ def valid_vectors(table: DataFrame, nonzero: bool) -> DataFrame:
     return rows.where(F.size("embedding") == (common.d if common else 0))
 
 
+def asked(rows: DataFrame, query_every: int) -> DataFrame:
+    """query_id and q (its vector) of the rows whose vec_id `query_every` divides; of rows with the same vec_id the
+    least vector asks."""
+    return rows.where(F.col("vec_id") % query_every == 0).groupBy(F.col("vec_id").alias("query_id")).agg(F.min("v").alias("q"))
+
+
 def matrix(column: pa.Array) -> np.ndarray:
     """[rows, components] of a list column whose lists are equally long."""
     if isinstance(column, pa.ChunkedArray):
@@ -31,3 +39,31 @@ def matrix(column: pa.Array) -> np.ndarray:
 def dealt(seed: int, groups: int) -> F.Column:
     """A group number by the hash of vec_id."""
     return F.pmod(F.xxhash64("vec_id", F.lit(seed)), F.lit(groups)).cast("int")
+
+
+def blocks_meet(rows: DataFrame, queries: DataFrame, blocks: int, build: Callable, answer: Callable, schema: str) -> DataFrame:
+    """`build(rows of a block)` makes a block's index once; `answer(index, queries)` is then called for one batch of
+    its queries after the other, so a block's rows are held and its queries are streamed. Both tables have the columns
+    block (int, from 0), id and row (long), v (an array) and extra (binary); rows come in order of id. Each row is
+    shuffled once, to its block; `answer` gives record batches of `schema`."""
+    one, two = (df.select("block", F.lit(kind).alias("kind"), "id", "row", "v", "extra") for kind, df in enumerate((rows, queries)))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held, index = None, [], None
+        for batch in batches:
+            mark = np.stack([batch[c].to_numpy() for c in ("block", "kind")], axis=1)
+            cuts = [0, *(np.flatnonzero((mark[1:] != mark[:-1]).any(axis=1)) + 1).tolist(), len(mark)]
+            for s, e in zip(cuts[:-1], cuts[1:], strict=True):
+                if s == e:
+                    continue
+                part, (block, kind) = batch.slice(s, e - s), mark[s].tolist()
+                if block != now:
+                    now, held, index = block, [], None
+                if kind == 0:
+                    held.append(part)
+                elif held or index is not None:
+                    if index is None:
+                        index, held = build(pa.Table.from_batches(held)), []
+                    yield from answer(index, part)
+
+    return one.unionAll(two).repartitionById(blocks, F.col("block")).sortWithinPartitions("block", "kind", "id", "row").mapInArrow(run, schema)
