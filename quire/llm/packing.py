@@ -3,12 +3,13 @@
 Documents are tokenized whole and get an end id; only those longer than a sequence are cut, into full
 pieces and a rest. Full pieces are sequences of their own. The others are dealt by hash into groups of about
 `GROUP` pieces, and each group is packed by itself: best fit in decreasing order, then local search.
-The search takes the least filled bin and moves its pieces into others, or exchanges one for one, two for
-one or one for two, whenever that raises the sum of squared fills, until the bin is empty or nothing
-raises it. It ends at the lower bound or when several of the least filled bins in a row couldn't be emptied. The underfull bins of all groups are then
-packed once more among each other, so that groups cost no more than a few bins.
+The search goes through the underfull bins from the least filled on and moves a piece into another one, or exchanges one for one,
+two for one or one for two, whichever raises the sum of squared fills most, until the bin is empty or nothing raises it. It ends at
+the lower bound, or when no exchange between any two underfull bins raises the sum: no bin is given up before. The loosely filled bins
+of all groups are then packed once more among each other, so that groups cost no more than a few bins.
 
-Null or empty text: the end id alone. Repeated rows are pieces of their own. An empty table gives none.
+Null or empty text: the end id alone. Very long texts are read whole and cut into pieces. Repeated rows are pieces of their own; of
+equally long pieces any may come first (by their number in the table). Other columns are not read. An empty table gives none.
 """
 
 from __future__ import annotations
@@ -28,8 +29,6 @@ from quire.llm.tokens import pieces, tokenizer_path
 
 #: Pieces of a group, and the fill under which a bin is packed again.
 GROUP, LOOSE = 16384, 0.97
-#: The search ends when so many of the least filled bins in a row can't be emptied.
-PATIENCE = 200
 
 
 def tokenize(docs: DataFrame, capacity: int = 4096, end_id: int = 1, vocabulary: str | None = None, with_ids: bool = False) -> DataFrame:
@@ -87,57 +86,80 @@ class Bins:
                 by_room.setdefault(room, []).append(b)
                 rooms |= 1 << room
 
-    def _parts(self, b: int) -> tuple[np.ndarray, np.ndarray, list[list[int]]]:
-        """What bin b can give: nothing, one piece or two, as sums and as pieces; remembered until the bin changes."""
+    def _parts(self, b: int) -> tuple[np.ndarray, np.ndarray]:
+        """Sorted, distinct: the pieces' lengths of bin b, and these with 0 and the sums of two; remembered until the bin changes."""
         if b not in self.known:
-            items = self.bins[b]
-            choices = [[], *([x] for x in items), *([x, y] for k, x in enumerate(items) for y in items[k + 1 :])]
-            self.known[b] = np.array([sum(self.lengths[x] for x in c) for c in choices], np.int64), np.array([len(c) for c in choices]), choices
+            items = np.array([self.lengths[x] for x in self.bins[b]], np.int64)
+            first, second = np.triu_indices(len(items), 1)
+            ones = np.unique(items)
+            self.known[b] = ones, np.unique(np.concatenate([[0], ones, items[first] + items[second]]))
         return self.known[b]
 
-    def _exchange(self, s: int, t: int) -> tuple[list[int], list[int]] | None:
-        """What of bin s to give for what of bin t, so that t gets as full as it can; None if t can't gain.
-        Moves, one for one, two for one and one for two."""
-        room = self.capacity - self.fill[t]
-        gives, n_gives, give = self._parts(s)
-        takes, n_takes, take = self._parts(t)
-        gain = gives[1:, None] - takes[None, :]
-        # the sum of squares rises if t stays the fuller of the two, or becomes it
-        fits = (gain > max(0, self.fill[s] - self.fill[t])) & (gain <= room) & (n_gives[1:, None] + n_takes[None, :] <= 3) & ((n_gives[1:, None] == 1) | (n_takes[None, :] == 1))
-        if not fits.any():
-            return None
-        i, j = divmod(int(np.where(fits, gain, 0).argmax()), len(takes))
-        return give[i + 1], take[j]
+    def _best(self, s: int, others: np.ndarray) -> tuple[int, int, int, bool] | None:
+        """(bin t, length given by s, length taken from t, are two given?) of the exchange that raises the sum of squared fills
+        most: a move, one for one, one for two, or two for one. None if none raises it."""
+        fill = np.array([self.fill[t] for t in others], np.int64)
+        room, least, found = self.capacity - fill, np.maximum(0, self.fill[s] - fill), None
+        ones, sums = self._parts(s)
+        pairs = np.setdiff1d(sums, np.append(ones, 0), assume_unique=True) if len(self.bins[s]) > 1 else ones[:0]
+        for gives, which, two in ((ones, 1, False), (pairs, 0, True)):
+            if not len(gives):
+                continue
+            takes = [self._parts(t)[which] for t in others]
+            count = np.fromiter(map(len, takes), np.int64, len(takes))
+            begin = np.arange(len(others), dtype=np.int64) * (2 * self.capacity)
+            keys, ends = np.concatenate(takes) + np.repeat(begin, count), np.cumsum(count)
+            # for each length given, the least that may be taken back, so that t gets as full as it can
+            wanted = np.maximum(0, gives[:, None] - room[None, :])
+            at = np.searchsorted(keys, wanted + begin)
+            take = keys[np.minimum(at, len(keys) - 1)] - begin
+            gain = gives[:, None] - take
+            gain[(at >= ends) | (gain <= least)] = 0
+            rise = gain * (gain + fill - self.fill[s])
+            k = int(rise.argmax())
+            i, j = divmod(k, len(others))
+            if gain[i, j] > 0 and (found is None or rise[i, j] > found[0]):
+                found = int(rise[i, j]), int(others[j]), int(gives[i]), int(take[i, j]), two
+        return found and found[1:]
+
+    def _pick(self, b: int, total: int, most: int) -> list[int]:
+        """Pieces of bin b, at most so many, whose lengths have that sum."""
+        if total == 0:
+            return []
+        items = self.bins[b]
+        for x in items:
+            if self.lengths[x] == total:
+                return [x]
+        return next([x, y] for k, x in enumerate(items) for y in items[k + 1 :] if most > 1 and self.lengths[x] + self.lengths[y] == total)
 
     def local_search(self) -> None:
-        """Empty bins by exchanges that raise the sum of squared fills. Each accepted exchange raises it, so this ends."""
-        stuck: set[int] = set()
-        live = sum(1 for b in self.bins if b)
-        while live > self.least:
-            open_bins = [b for b in range(len(self.bins)) if self.bins[b] and self.fill[b] < self.capacity]
-            sources = [b for b in open_bins if b not in stuck]
-            if not sources or len(open_bins) < 2 or len(stuck) >= PATIENCE:
-                return
-            s = min(sources, key=lambda b: (self.fill[b], b))
-            changed = False
-            for t in sorted((b for b in open_bins if b != s), key=lambda b: (self.fill[b], b)):
-                while self.bins[s] and self.fill[t] < self.capacity and (found := self._exchange(s, t)):
-                    give, take = found
-                    moved = sum(self.lengths[x] for x in give) - sum(self.lengths[x] for x in take)
+        """Empty bins by exchanges that raise the sum of squared fills. Each accepted exchange raises it, so this ends: when
+        the bins are as few as their total length allows, or when no exchange between two underfull bins raises it."""
+        live, clock = sum(1 for b in self.bins if b), 1
+        changed, tested = dict.fromkeys(range(len(self.bins)), 1), dict.fromkeys(range(len(self.bins)), 0)
+        moving = True
+        while moving and live > self.least:
+            moving = False
+            for s in sorted((b for b in changed if self.bins[b] and self.fill[b] < self.capacity), key=lambda b: (self.fill[b], b)):
+                while self.bins[s] and self.fill[s] < self.capacity and live > self.least:
+                    # pairs that failed before fail again unless one of the two has changed
+                    since = 0 if changed[s] > tested[s] else tested[s]
+                    others = np.array([t for t in changed if t != s and changed[t] > since and self.bins[t] and self.fill[t] < self.capacity], np.int64)
+                    tested[s] = clock
+                    if not len(others) or not (found := self._best(s, others)):
+                        break
+                    t, given, taken, two = found
+                    give, take = self._pick(s, given, 2 if two else 1), self._pick(t, taken, 1 if two else 2)
                     self.bins[s] = [x for x in self.bins[s] if x not in give] + take
                     self.bins[t] = [x for x in self.bins[t] if x not in take] + give
-                    self.fill[s] -= moved
-                    self.fill[t] += moved
-                    self.known.pop(s, None)
-                    self.known.pop(t, None)
-                    changed = True
-                if not self.bins[s]:
-                    live -= 1
-                    break
-            if self.bins[s]:
-                stuck.add(s)
-            elif changed:
-                stuck.clear()
+                    self.fill[s] -= given - taken
+                    self.fill[t] += given - taken
+                    clock += 1
+                    for b in (s, t):
+                        changed[b] = clock
+                        self.known.pop(b, None)
+                    moving = True
+                    live -= not self.bins[s]
 
 
 def pack(lengths: list[int], capacity: int) -> tuple[list[int], list[int], list[int]]:
