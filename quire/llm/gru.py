@@ -68,6 +68,16 @@ def halved(x: np.ndarray) -> np.ndarray:
     return x
 
 
+def scattered(at: np.ndarray, rows: np.ndarray, n: int) -> np.ndarray:
+    """[n, ...]: the sum of the rows that go to each place."""
+    out = np.zeros((n, *rows.shape[1:]), rows.dtype)
+    order = np.argsort(at, kind="stable")
+    at = at[order]
+    first = np.flatnonzero(np.diff(at, prepend=-1))
+    out[at[first]] = np.add.reduceat(rows[order], first, axis=0)
+    return out
+
+
 def backward(d_out: np.ndarray, u: np.ndarray, mask: np.ndarray, cache: list) -> tuple[np.ndarray, np.ndarray]:
     """From d(loss)/d(states) to d/d(gates) and d/d(u)."""
     steps, lanes, n = d_out.shape

@@ -8,8 +8,12 @@ same wherever it occurs: a worker remembers these sums for runs that it has met.
 whole text counts.
 
 It is trained in numpy by backpropagation through time, on the driver, from at most `per_lang` documents of each
-language (those of least hash, a documented bound) and `STEPS` batches of their runs. Null or letterless
-texts: `und` with score 0. Null languages teach nothing; with no language at all, all is `und`.
+language (those of least hash) and at most `per_doc` runs of each of these, drawn by hash from its whole text, in `STEPS` batches.
+These bounds are parameters, as is `max_langs`: more languages raise an error, none is dropped.
+
+Null or letterless texts: `und` with score 0. Null languages teach nothing; with no language at all, or an empty table, all is
+`und`. Very long texts are read whole. Repeated rows teach and are predicted each. Other columns stay as they are, but `lang_pred` and
+`score` are replaced.
 """
 
 from __future__ import annotations
@@ -95,9 +99,7 @@ def train(runs: list[bytes], y: np.ndarray, n_langs: int, seed: int = 1) -> dict
         h = HIDDEN
         for name, bytes_, d_h, cache in (("f", x, d_both[:, :, :h], cf), ("b", back, mirrored(d_both[:, :, h:], lengths), cb)):
             d_gates, grads["u" + name] = gru.backward(d_h, p["u" + name], mask, cache)
-            table = np.zeros_like(p["e" + name])
-            np.add.at(table, bytes_.reshape(-1), d_gates.reshape(-1, 3 * h))
-            grads["e" + name] = table
+            grads["e" + name] = gru.scattered(bytes_.reshape(-1), d_gates.reshape(-1, 3 * h), 256)
         adam.step(grads)
     return p
 
@@ -137,27 +139,40 @@ def chunks(run: bytes, span: int = SPAN) -> list[bytes]:
     return out
 
 
-def fit(docs: DataFrame, per_lang: int = 400, per_doc: int = 200) -> Model:
-    """Learn from text and lang of `docs`; languages (bounded by `max_langs`) come in order of code point."""
+def _lessons(per_doc: int):
+    """Streams (lang, _h, doc_id, text): lang and `per_doc` of the text's runs, drawn by the hash from all of them."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            taught = []
+            for text, h in zip(batch["text"], batch["_h"].to_pylist(), strict=True):
+                parts = [c for r in runs_of(text.as_py()) for c in chunks(r)]
+                if len(parts) > per_doc:
+                    parts = [parts[i] for i in np.sort(np.random.default_rng(h & (1 << 63) - 1).choice(len(parts), per_doc, replace=False))]
+                taught.append(parts)
+            yield pa.RecordBatch.from_arrays([batch["lang"], pa.array(taught, pa.list_(pa.binary()))], names=["lang", "runs"])
+
+    return run
+
+
+def fit(docs: DataFrame, per_lang: int = 400, per_doc: int = 200, max_langs: int = 1000) -> Model:
+    """Learn from text and lang of `docs`; languages come in order of code point."""
     known = docs.where("lang is not null and text is not null").select("lang", "text", F.xxhash64("doc_id", F.lit(9)).alias("_h"), "doc_id")
-    # the hash picks before the window sorts: a language's rows are thinned, never gathered
-    counts = {r.lang: r.n for r in known.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    counts = {r.lang: r.n for r in known.groupBy("lang").agg(F.count("*").alias("n")).limit(max_langs + 1).collect()}
+    if len(counts) > max_langs:
+        raise ValueError(f"more than {max_langs} languages")
     langs = sorted(counts)
     if not langs:
         return Model([], new_params(1, np.random.default_rng(0)))
+    # the hash picks before the window sorts: a language's rows are thinned, never gathered
     share = F.create_map(*[x for k in langs for x in (F.lit(k), F.lit(min(1.0, 3.0 * per_lang / counts[k])))])
     thin = known.where(F.pmod("_h", F.lit(1_000_000)) < share[F.col("lang")] * 1_000_000)
-    words = F.slice(F.split(F.trim("text"), r"[\x20\x09-\x0D]+"), 1, per_doc)
-    rows = thin.withColumn("n", F.row_number().over(Window.partitionBy("lang").orderBy("_h", "doc_id"))).where(F.col("n") <= per_lang).select("lang", words.alias("words")).collect()
-    rows.sort(key=lambda r: (r.lang, r.words))
-    runs, y = [], []
-    for r in rows:
-        for w in r.words:
-            for run in w.encode().translate(RUNS).split():
-                for c in chunks(run):
-                    runs.append(c)
-                    y.append(langs.index(r.lang))
-    return Model(langs, train(runs, np.array(y, np.int64), len(langs)))
+    drawn = thin.withColumn("n", F.row_number().over(Window.partitionBy("lang").orderBy("_h", "doc_id", "text"))).where(F.col("n") <= per_lang)
+    rows = drawn.select("lang", "_h", "text").mapInArrow(_lessons(per_doc), "lang string, runs array<binary>").collect()
+    rows.sort(key=lambda r: (r.lang, r.runs))
+    at = {k: i for i, k in enumerate(langs)}
+    runs, y = [bytes(c) for r in rows for c in r.runs], np.repeat([at[r.lang] for r in rows], [len(r.runs) for r in rows]).astype(np.int64)
+    return Model(langs, train(runs, y, len(langs)))
 
 
 class Scorer:
