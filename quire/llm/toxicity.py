@@ -7,11 +7,14 @@ ends; attention pools its states to one logit a window. All windows of the whole
 the next by half, are scored; the document's score is the calibrated largest logit.
 
 It is trained in numpy by backpropagation through time, on the driver, from at most `per_class` labelled
-documents of each class, of at most `MOST_BYTES` bytes (those of least hash; documented bounds). First every
-window has its document's label; then toxic documents teach by their highest windows, others by their highest
-and by random ones. A logistic fit on the sample's largest logits, weighted to the true share of
-labels, gives the score. Null, empty or wordless texts: score 0. With labels of one class only, all scores
-are that class's.
+documents of each class (those of least hash) and at most `LESSONS` windows of each (drawn by hash from all of its text; both
+bounds are documented parameters). First every window has its document's label; then toxic documents teach by their highest windows,
+others by their highest and by random ones. A logistic fit on the sample's largest logits, over all windows of
+their whole texts and weighted to the true share of labels, gives the score.
+
+Null, empty or wordless texts: score 0. With labels of one class only, all scores are that class's; without labels, 0. A document with
+several labels is toxic if one says so; labels that are null or neither 0 nor 1 count for nothing. Repeated rows teach and are scored
+each. Very long texts are scored whole. Other columns are kept by `drop_toxic` and not read. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -28,14 +31,16 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from quire.llm import gru
-from quire.llm.common import held
+from quire.llm.common import drop_staged, held, staged
 from quire.llm.langid import RUNS, chunks
 
 THRESHOLD = 0.3
 WINDOW, STRIDE = 32, 16
 HIDDEN, INPUT, GRAMS, WORDS, LONGEST = 8, 12, 4096, 20_000, 64
 STEPS, MORE_STEPS, BATCH, RATE = 300, 300, 256, 1e-2
-MOST_BYTES, MEMORY, AT_ONCE, TEXTS = 20_000, 150_000, 4096, 512
+#: Windows of a document that teach at most.
+LESSONS = 96
+MEMORY, AT_ONCE, TEXTS = 150_000, 4096, 512
 #: Decay of weights a step, and the most passes over the windows of a small sample.
 DECAY, PASSES = 1e-3, 12
 #: Windows of a batch that are made to repeat their first words: clean texts of few words are rare in a sample.
@@ -137,14 +142,13 @@ def step(p: dict[str, np.ndarray], seen: list[bytes], ids: np.ndarray, x: np.nda
     d_gb, grads["ub"] = gru.backward(d_both[::-1, :, h:], p["ub"], real[::-1], cb)
     d_e = np.zeros_like(e_all)
     for name, d_g, at in (("f", d_gf, where), ("b", d_gb, where[::-1])):
-        flat, d_word = d_g.reshape(-1, 3 * h), np.zeros((len(e_all), 3 * h), np.float32)
-        np.add.at(d_word, at.reshape(-1), flat)
+        flat = d_g.reshape(-1, 3 * h)
+        d_word = gru.scattered(at.reshape(-1), flat, len(e_all))
         grads["b" + name], grads["i" + name] = flat.sum(axis=0), e_all.T @ d_word
         d_e += d_word @ p["i" + name].T
     d_e = d_e[: len(words)]
-    grads["words"], grads["grams"] = np.zeros_like(p["words"]), np.zeros_like(p["grams"])
-    np.add.at(grads["words"], ids[own], d_e)
-    np.add.at(grads["grams"], grams, np.repeat(d_e / counts, counts[:, 0].astype(np.int64), axis=0))
+    grads["words"] = gru.scattered(ids[own], d_e, len(p["words"]))
+    grads["grams"] = gru.scattered(grams, np.repeat(d_e / counts, counts[:, 0].astype(np.int64), axis=0), len(p["grams"]))
     return grads
 
 
@@ -236,23 +240,40 @@ def calibrated(largest: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[
     return max(0.05, float(scale)), float(shift)
 
 
+def lessons_of(text: str | None, seed: int, most: int | None = None) -> tuple[list[list[bytes]], bool]:
+    """Windows of the text, `most` (LESSONS) at most, drawn by the seed from all of them; whether these are all."""
+    words, most = words_of(text), most or LESSONS
+    if not words:
+        return [], True
+    starts = windows_of(len(words))
+    whole = len(starts) <= most
+    if not whole:
+        starts = np.sort(np.random.default_rng(seed & (1 << 63) - 1).choice(starts, most, replace=False))
+    return [words[s : s + WINDOW] for s in starts.tolist()], whole
+
+
 def train(texts: list[str], y: np.ndarray, share: float, seed: int = 3) -> Model:
-    """share: the toxic part of all labels."""
+    """Learn from whole texts; share: the toxic part of all labels."""
+    return train_on([lessons_of(t, i)[0] for i, t in enumerate(texts)], y, share, seed)
+
+
+def train_on(lessons: list[list[list[bytes]]], y: np.ndarray, share: float, seed: int = 3) -> Model:
+    """Learn from the windows (lists of words) of documents."""
     rng = np.random.default_rng(seed)
-    split = [words_of(t) for t in texts]
-    kept = np.array([bool(w) for w in split], bool) if split else np.zeros(0, bool)
-    split, y = [w for w in split if w], y[kept]
+    kept = np.array([bool(w) for w in lessons], bool) if lessons else np.zeros(0, bool)
+    lessons, y = [w for w in lessons if w], y[kept]
     if len(set(y.tolist())) < 2:
         return Model(constant=float(y[0]) if len(y) else 0.0)
-    counts = Counter(w for words in split for w in set(words))
+    counts = Counter(w for windows in lessons for w in set().union(*windows))
     common = sorted((w for w, n in counts.items() if n >= 3), key=lambda w: (-counts[w], w))[:WORDS]
     vocabulary = {w: i + 1 for i, w in enumerate(common)}
     seen = sorted(counts)
     number, ids = {w: i for i, w in enumerate(seen)}, np.array([vocabulary.get(w, 0) for w in seen], np.int32)
-    blocks = [laid_out(np.array([number[w] for w in words], np.int32), len(seen)) for words in split]
-    del split, number, counts
-    x, doc = np.concatenate(blocks, axis=1), np.repeat(np.arange(len(blocks)), [b.shape[1] for b in blocks])
-    del blocks
+    doc = np.repeat(np.arange(len(lessons)), [len(w) for w in lessons])
+    x = np.full((WINDOW, len(doc)), len(seen), np.int32)
+    for lane, window in enumerate(w for windows in lessons for w in windows):
+        x[: len(window), lane] = [number[w] for w in window]
+    del lessons, number, counts
     p = new_params(len(vocabulary) + 1, rng)
     adam = gru.Adam(p, RATE)
     model = Model(p, vocabulary)
@@ -284,6 +305,10 @@ def train(texts: list[str], y: np.ndarray, share: float, seed: int = 3) -> Model
             p[name] *= np.float32(1 - DECAY)
     largest = np.full(len(y), -np.inf)
     np.maximum.at(largest, doc, _window_logits(model, seen, ids, x).astype(float))
+    return recalibrated(model, largest, y, share)
+
+
+def recalibrated(model: Model, largest: np.ndarray, y: np.ndarray, share: float) -> Model:
     mine = float(y.mean())
     model.scale, model.shift = calibrated(largest, y.astype(float), np.where(y == 1, share / mine, (1 - share) / (1 - mine)))
     return model
@@ -299,18 +324,39 @@ def _window_logits(model: Model, seen: list[bytes], ids: np.ndarray, x: np.ndarr
 
 def fit(docs: DataFrame, labels: DataFrame, per_class: int = 1500) -> Model:
     """Learn toxic (0 or 1) of `labels` (doc_id, toxic) from the text of `docs`. The sample is drawn from
-    the labels, and its ids (2 * per_class at most) are broadcast: no text is shuffled."""
-    known = labels.where("toxic in (0, 1) and doc_id is not null").select("doc_id", "toxic")
+    the labels, and its ids (2 * per_class at most) are broadcast: no text but the sample's is shuffled."""
+    known = labels.where("toxic in (0, 1) and doc_id is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     n = {r.toxic: r.n for r in known.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
-    # more than enough ids are drawn, since some texts are too long or missing
+    # more than enough ids are drawn, since some have no text
     part = [known.where(f"toxic = {k}").where(F.pmod(F.xxhash64("doc_id", F.lit(17)), F.lit(1_000_000)) < F.lit(min(1.0, 6.0 * per_class / n.get(k, 1)) * 1_000_000)) for k in (0, 1)]
     drawn = [q.orderBy(F.xxhash64("doc_id", F.lit(18)), "doc_id").limit(2 * per_class) for q in part]
-    ids = drawn[0].unionAll(drawn[1]).dropDuplicates(["doc_id"]).withColumnRenamed("doc_id", "_labelled")
-    texts = docs.where(F.octet_length("text") <= MOST_BYTES).select("doc_id", "text").join(F.broadcast(ids), F.col("doc_id") == F.col("_labelled"))
+    ids = drawn[0].unionAll(drawn[1]).withColumnRenamed("doc_id", "_labelled")
+    texts = docs.select("doc_id", "text").where("text <> ''").join(F.broadcast(ids), F.col("doc_id") == F.col("_labelled"))
     place = Window.partitionBy("toxic").orderBy(F.xxhash64("doc_id", F.lit(18)), "doc_id", "text")
-    rows = texts.withColumn("n", F.row_number().over(place)).where(F.col("n") <= per_class).select("toxic", "text", "n").collect()
-    rows.sort(key=lambda r: (r.toxic, r.n))
-    return train([r.text for r in rows], np.array([r.toxic for r in rows], np.int64), n.get(1, 0) / max(1, sum(n.values())))
+    sample = staged(texts.withColumn("n", F.row_number().over(place)).where(F.col("n") <= per_class).select("toxic", "n", "text"), "toxic-sample")
+
+    def lessons(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [lessons_of(t.as_py(), 2 * n + y) for t, n, y in zip(batch["text"], batch["n"].to_pylist(), batch["toxic"].to_pylist(), strict=True)]
+            windows = pa.array([[b" ".join(w) for w in ws] for ws, _ in found], pa.list_(pa.binary()))
+            yield pa.RecordBatch.from_arrays([batch["toxic"], batch["n"], windows, pa.array([whole for _, whole in found], pa.bool_())], names=["toxic", "n", "windows", "whole"])
+
+    kinds = ", ".join(f"{c} {t}" for c, t in sample.select("toxic", "n").dtypes)
+    rows = sorted(sample.mapInArrow(lessons, f"{kinds}, windows array<binary>, whole boolean").collect(), key=lambda r: (r.toxic, r.n))
+    y, share = np.array([r.toxic for r in rows], np.int64), n.get(1, 0) / max(1, sum(n.values()))
+    model = train_on([[bytes(w).split(b" ") for w in r.windows] for r in rows], y, share)
+    if model.constant is None and not all(r.whole for r in rows):
+        # long documents taught by some of their windows: the calibration sees the largest logit of all of them
+        shared = docs.sparkSession.sparkContext.broadcast(model)
+
+        def logits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                yield pa.RecordBatch.from_arrays([batch["toxic"], pa.array(Scorer(shared.value).largest(batch["text"].to_pylist()).astype(float))], names=["toxic", "largest"])
+
+        found = [r for r in sample.mapInArrow(logits, f"{kinds.split(',')[0]}, largest double").collect() if r.largest > -np.inf]
+        model = recalibrated(model, np.array([r.largest for r in found]), np.array([r.toxic for r in found], np.int64), share)
+    drop_staged(sample)
+    return model
 
 
 def scorer(model: Model) -> Scorer:
