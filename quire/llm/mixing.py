@@ -6,11 +6,13 @@ reached: of its last document only the words that the target still needs are tak
 sources are split among output shards by a binary tree: at each node the left half's share is a
 multivariate hypergeometric draw from the node's quotas, as if its blocks were dealt from a shuffled
 deck. A leaf's quotas become disjoint runs of each source's permuted blocks; inside a shard a hashed
-key gives the local order.
+key gives the local order. What a document gives to the mix is the sum of its blocks in the shards.
 
-The driver holds one row a source (`max_sources` bounds them; more raise an error, none is dropped).
+The driver holds one row a source and shard (`max_sources` bounds them; more raise an error, none is dropped).
 Null text: no words. A null source is a source of its own, the last in order. Documents without
-words occur in whole passes and take nothing. Equal seeds give equal mixes.
+words occur in whole passes and take nothing. Very long texts count whole. Repeated rows are documents of their own; where a
+run ends between rows of equal doc_id and text, it may be any of them (they are alike). Equal shuffle keys: by block. Other
+columns are carried by `repeat` and not read. An empty table gives an empty mix. Equal seeds give equal mixes.
 """
 
 from __future__ import annotations
@@ -26,6 +28,8 @@ from quire.llm.common import WORD, staged
 
 #: Documents of a cell of the permutation, and the most cells of a source.
 CELL_ROWS, MOST_CELLS = 512, 4096
+#: Blocks of a cell of a shard's local order, and the most bits of such a cell.
+CELL_BLOCKS, MOST_CELL_BITS = 1024, 14
 #: numpy draws hypergeometric numbers from fewer than this many blocks.
 MOST_BLOCKS = 500_000_000
 
@@ -69,7 +73,7 @@ def keyed(docs: DataFrame, seed: int) -> DataFrame:
 class Mix:
     """The plan of a mix: a bounded table with one row a source, and the ranked documents."""
 
-    def __init__(self, docs: DataFrame, shards: int = 16, most_repeats: int = 3, seed: int = 7, max_sources: int = 100_000):
+    def __init__(self, docs: DataFrame, shards: int = 16, most_repeats: int = 3, seed: int = 7, max_sources: int = 10_000):
         self.spark, self.seed, self.shards = docs.sparkSession, seed, shards
         rows = keyed(docs.select("doc_id", "text", "source"), seed).select(
             "doc_id", "source", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"), "_mix_key")
@@ -126,8 +130,8 @@ class Mix:
         for i, s in enumerate(self.sources):
             s["starts"] = starts[:, i].tolist()
 
-    def documents(self) -> DataFrame:
-        """doc_id, source, size, source_size, target and draws: an array of (pass, block, words, shard, shuffle_key)."""
+    def _drawn(self) -> DataFrame:
+        """Each document with `draws`: an array of (pass, block, words, shard, shuffle_key), at most one more than passes."""
         rows = self._with(self.ranked, "source_size", "target", "passes", "n_docs", "partial", "gap", "starts")
         none = F.array().cast("array<bigint>")
         passes = F.when(F.col("_p_passes") > 0, F.sequence(F.lit(0).cast("long"), F.col("_p_passes") - 1)).otherwise(none)
@@ -138,30 +142,71 @@ class Mix:
             block = p * F.col("_p_n_docs") + F.col("rank")
             cut = (p == F.col("_p_passes")) & (F.col("rank") == F.col("_p_partial"))
             shard = F.size(F.filter("_p_starts", lambda x: x <= F.floor(block / self.run))) - 1
-            return F.struct(p.alias("pass"), block.alias("block"), F.when(cut, F.col("_p_gap")).otherwise(F.col("size")).alias("words"), shard.alias("shard"), F.xxhash64(F.lit(self.seed + 1), "doc_id", "_mix_key", p).alias("shuffle_key"))
+            return F.struct(p.alias("pass"), block.alias("block"), F.when(cut, F.col("_p_gap")).otherwise(F.col("size")).alias("words"), shard.alias("shard"), self._shuffle_key(p).alias("shuffle_key"))
+
+        return rows.select("doc_id", "source", "rank", "size", F.col("_p_source_size").alias("source_size"), F.col("_p_target").alias("target"), F.transform(passes, draw).alias("draws"))
 
-        return rows.select("doc_id", "source", "size", F.col("_p_source_size").alias("source_size"), F.col("_p_target").alias("target"), F.transform(passes, draw).alias("draws"))
+    def _shuffle_key(self, p: F.Column) -> F.Column:
+        return F.xxhash64(F.lit(self.seed + 1), "doc_id", "_mix_key", p)
+
+    def _cell(self, key: F.Column) -> F.Column:
+        """A run of the local order: the key's first bits."""
+        blocks = sum(s["quota"] for s in self.sources) // self.shards
+        return F.shiftright(key, 64 - max(1, min(MOST_CELL_BITS, (blocks // CELL_BLOCKS).bit_length())))
 
     def occurrences(self) -> DataFrame:
-        """One row a block: doc_id, pass, shard, shuffle_key; sorting a shard by shuffle_key is its local shuffle."""
-        return self.documents().select("doc_id", "source", F.inline("draws"))
+        """One row a block: doc_id, source, rank, pass, block, words, shard, shuffle_key, place (from 0, its place in
+        the shard's local shuffle). Places are numbered in cells of the key, so no shard is one task's work."""
+        rows = self._drawn().select("doc_id", "source", "rank", F.inline("draws")).withColumn("cell", self._cell(F.col("shuffle_key")))
+        rows = staged(rows, "mix-blocks")
+        counts = rows.groupBy("shard", "cell").agg(F.count("*").alias("n"))  # shards << MOST_CELL_BITS rows at most
+        before = F.coalesce(F.sum("n").over(Window.partitionBy("shard").orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+        here = F.row_number().over(Window.partitionBy("shard", "cell").orderBy("shuffle_key", "source", "block")) - 1
+        first = counts.select("shard", "cell", before.alias("first"))
+        return rows.withColumn("here", here).join(first, ["shard", "cell"]).select(
+            "doc_id", "source", "rank", "pass", "block", "words", "shard", "shuffle_key", (F.col("first") + F.col("here")).alias("place"))
+
+    def documents(self) -> DataFrame:
+        """doc_id, source, size, source_size, target, taken (words that all its blocks bring into the shards), and the
+        blocks' shards and places (arrays, in order of the passes)."""
+        blocks = self.occurrences().groupBy("source", "rank").agg(
+            F.sum("words").alias("taken"), F.array_sort(F.collect_list(F.struct("pass", "shard", "place"))).alias("blocks"))  # one row a pass
+        blocks = blocks.select(F.col("source").alias("_s"), F.col("rank").alias("_r"), "taken", "blocks")
+        rows = self._with(self.ranked, "source_size", "target")
+        rows = rows.join(blocks, rows["source"].eqNullSafe(blocks["_s"]) & (rows["rank"] == blocks["_r"]), "left")
+        none = F.array()
+        return rows.select("doc_id", "source", "size", F.col("_p_source_size").alias("source_size"), F.col("_p_target").alias("target"), F.coalesce("taken", F.lit(0)).cast("long").alias("taken"),
+                           F.coalesce("blocks.shard", none.cast("array<int>")).alias("shards"), F.coalesce("blocks.place", none.cast("array<long>")).alias("places"))
 
     def repeat(self, docs: DataFrame) -> DataFrame:
         """Rows of `docs` as often as the mix takes them, with their columns: 0 to most_repeats times; the document
-        of which only a part is taken counts if that is half of it. A document's draws follow from its hash and
-        its source's boundary, so no text is shuffled."""
-        near = (F.col("rank") == F.col("_p_partial")) | (F.col("rank") == F.col("_p_partial") - 1)
-        rows = self._with(self.ranked, "partial").where(near).select("source", "rank", "size", F.struct("cell", "_mix_key", "doc_id").alias("place")).collect()  # two rows a source
-        at = {(r.source, r.rank): r for r in rows}
+        of which only a part is taken counts if that is half of it. Rows come by shard, in the shard's local shuffle (a partition
+        holds whole cells of it). A row's passes and shards follow from its hash and the places in its source's permutation
+        where the tree cuts, so the text is shuffled once, to its shard."""
+        cuts = []
+        for s in self.sources:
+            edge = s["partial"] if s["gap"] > 0 else s["partial"] - 1
+            blocks = [x * self.run for x in s["starts"]]
+            cuts.append({"source": s["source"], "at": sorted({b % s["n_docs"] for b in blocks if s["n_docs"]} | ({edge, edge - 1} if s["rest"] > 0 else set()))})
         place = "struct<cell:bigint,_mix_key:bigint,doc_id:bigint>"
+        wanted = F.broadcast(self.spark.createDataFrame([(c["source"], x) for c in cuts for x in c["at"] if x >= 0], "_s string, _at long"))  # max_sources * (shards + 2) rows at most
+        here = self.ranked.join(wanted, self.ranked["source"].eqNullSafe(wanted["_s"]) & (self.ranked["rank"] == wanted["_at"]))
+        at = {(r.source, r.rank): r for r in here.select("source", "rank", "size", F.struct("cell", "_mix_key", "doc_id").alias("place")).collect()}
         table = []
         for s in self.sources:
-            cut = at.get((s["source"], s["partial"])) if s["gap"] > 0 else None
-            edge = cut if cut and 2 * s["gap"] >= cut["size"] else at.get((s["source"], s["partial"] - 1)) if s["rest"] > 0 else None
-            table.append((s["source"], s["passes"], s["cells"], edge and edge.place))
-        plan = F.broadcast(self.spark.createDataFrame(table, f"_p_source string, _p_passes long, _p_cells long, _p_edge {place}"))
-        here = F.struct(F.pmod("_mix_key", F.col("_p_cells")).alias("cell"), F.col("_mix_key"), F.col("doc_id").cast("long").alias("doc_id"))
-        rows = keyed(docs, self.seed)
+            last = at.get((s["source"], s["partial"]))
+            if not (s["gap"] > 0 and last and 2 * s["gap"] >= last["size"]):
+                last = at.get((s["source"], s["partial"] - 1)) if s["rest"] > 0 else None
+            begins = [(b // s["n_docs"], at[s["source"], b % s["n_docs"]].place) for b in (x * self.run for x in s["starts"]) if (s["source"], b % s["n_docs"]) in at]
+            table.append((s["source"], s["passes"], s["cells"], last and last.place, begins))
+        plan = F.broadcast(self.spark.createDataFrame(table, f"_p_source string, _p_passes long, _p_cells long, _p_edge {place}, _p_begins array<struct<pass:bigint,place:{place}>>"))
+        # the columns of `docs` are kept in one struct, so that their names clash with none of these
+        rows = keyed(docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("doc"), "doc_id", "text", "source"), self.seed)
         rows = rows.join(plan, rows["source"].eqNullSafe(plan["_p_source"]))
-        times = (F.col("_p_passes") + F.coalesce(here <= F.col("_p_edge"), F.lit(False)).cast("long")).cast("int")
-        return rows.withColumn("_mix_times", times).where("_mix_times > 0").withColumn("_mix_n", F.explode(F.array_repeat(F.lit(1), F.col("_mix_times")))).select(*docs.columns)
+        here = F.struct(F.pmod("_mix_key", F.col("_p_cells")).alias("cell"), F.col("_mix_key"), F.col("doc_id").cast("long").alias("doc_id"))
+        rows = rows.withColumn("place", here).withColumn("times", F.col("_p_passes") + F.coalesce(F.col("place") <= F.col("_p_edge"), F.lit(False)).cast("long"))
+        rows = rows.where("times > 0").withColumn("pass", F.explode(F.sequence(F.lit(0).cast("long"), F.col("times") - 1)))
+        begun = F.filter("_p_begins", lambda b: b <= F.struct("pass", "place"))
+        rows = rows.select("doc", (F.greatest(F.size(begun), F.lit(1)) - 1).alias("shard"), self._shuffle_key(F.col("pass")).alias("key"))
+        rows = rows.withColumn("cell", self._cell(F.col("key"))).repartition("shard", "cell").sortWithinPartitions("shard", "key")
+        return rows.select("doc.*")
