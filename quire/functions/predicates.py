@@ -93,24 +93,31 @@ OCR_WEIGHTS = {"control_character_density": 0.65, "symbol_density": 0.25, "fragm
                "header_overlap": 0.15, "footer_overlap": 0.20, "scan_artifact_overlap": 0.25, "evidence_disagreement": 0.45}
 
 
+#: Characters that are neither letters, digits nor white space; of these, the ones that prose seldom has.
+PUNCTUATION = r"[^\p{L}\p{N}\p{Z}\s]"
+SYMBOL = r"[^\p{L}\p{N}\p{Z}\s'’.,;:!?–—()\[\]-]"
+
+
 def ocr_reasons(text: Column, overlaps: Column | None = None, outside: Column | None = None, evidence: Column | None = None) -> Column:
     """The reason codes that hold, as an array."""
     n = F.greatest(F.length(text), F.lit(1))
-    tokens = F.filter(F.split(text, r"[ \t\n\r]+"), lambda x: x != "")
-    fragments = F.size(F.filter(tokens, lambda x: x.rlike(r"^[0-9:/.-]{1,8}$")))
+    tokens = F.filter(F.split(text, r"(?U)\s+"), lambda x: x != "")
+    fragments = F.size(F.filter(tokens, lambda x: x.rlike(r"^[\p{Nd}:/.-]{1,8}$")))
     holds = {
         "control_character_density": F.regexp_count(text, F.lit(CONTROL)) / n >= 0.02,
-        "symbol_density": (F.regexp_count(text, F.lit(r"[$+<=>^`|~]")) / n >= 0.06) | (F.regexp_count(text, F.lit(r"[!-#%-*,-/:;?@\[-\]_{}]")) / n >= 0.20),
+        "symbol_density": (F.regexp_count(text, F.lit(SYMBOL)) / n >= 0.06) | (F.regexp_count(text, F.lit(PUNCTUATION)) / n >= 0.20),
         "fragmented_tokens": (F.size(tokens) > 0) & (fragments / F.greatest(F.size(tokens), F.lit(1)) >= 0.45),
-        "impossible_word_join": text.rlike(r"(?:^|[^A-Za-z])(?:the|and|of|in|to)[A-Z][a-z]+"),
+        "impossible_word_join": text.rlike(r"\b(?:of|and|the|in|to|for)[A-Z][a-z]{2,}"),
     }
     if outside is not None:
         holds["out_of_page_bbox"] = outside
     if overlaps is not None:
         holds |= {f"{x}_overlap": F.array_contains(overlaps, x) for x in ("figure", "table", "header", "footer", "scan_artifact")}
     if evidence is not None:
-        mine, theirs = F.array_distinct(tokens), F.array_distinct(F.split(evidence, r"[ \t\n\r]+"))
-        holds["evidence_disagreement"] = F.size(F.array_intersect(mine, theirs)) / F.greatest(F.size(F.array_union(mine, theirs)), F.lit(1)) < 0.25
+        # two texts without words agree; case doesn't count
+        mine, theirs = (F.array_distinct(F.regexp_extract_all(F.lower(x), F.lit(r"(?U)(\w+)"), 1)) for x in (text, evidence))
+        union = F.size(F.array_union(mine, theirs))
+        holds["evidence_disagreement"] = evidence.isNotNull() & (union > 0) & (F.size(F.array_intersect(mine, theirs)) / F.greatest(union, F.lit(1)) < 0.25)
     return F.filter(F.array(*[F.when(c, F.lit(k)) for k, c in holds.items()]), lambda x: x.isNotNull())
 
 

@@ -46,7 +46,7 @@ def ingest_cleanup(c: Column) -> Column:
 def repair(c: Column) -> Column:
     """Extraction artefacts: a single consonant cut off its word, orphan notes, double blanks, blank lines.
     Ordinary one- and two-letter words stay apart."""
-    return rewrite(c, (r"(?<![A-Za-z'])([b-hj-z]) ([a-z]{3,})\b", "$1$2"), (r"\. y\.(?=\s|$)", "."), (r"(?m)^\s*y\.\s*$", ""), (r"([A-Za-z])  +([A-Za-z])", "$1 $2"), (r"\n{3,}", "\n\n"))
+    return rewrite(c, (r"(?<![\p{L}'])([b-hj-z]) ([a-z]{3,})(?![\p{L}\p{N}_])", "$1$2"), (r"\. y\.(?=\s|$)", "."), (r"(?m)^\s*y\.\s*$", ""), (r"([A-Za-z])  +([A-Za-z])", "$1 $2"), (r"\n{3,}", "\n\n"))
 
 
 def footnote_space(c: Column) -> Column:
@@ -117,7 +117,9 @@ def operation(mode: Column, source: Column, target: Column) -> Column:
 def strip_gloss(output: Column, source: Column) -> Column:
     """`English(gloss)` becomes its gloss where the output has more glosses than its source (C17)."""
     gloss = r"[A-Za-z][A-Za-z ]*[(\x{FF08}]([\x{4E00}-\x{9FFF}]+)[)\x{FF09}]"
-    return F.when(F.regexp_count(output, F.lit(gloss)) > F.regexp_count(source, F.lit(gloss)), F.regexp_replace(output, gloss, "$1")).otherwise(output)
+    # a gloss is counted by its end: looking for its beginning takes quadratic time in runs of letters without one
+    end = F.lit(r"[A-Za-z] *[(\x{FF08}][\x{4E00}-\x{9FFF}]+[)\x{FF09}]")
+    return F.when(F.regexp_count(output, end) > F.regexp_count(source, end), F.regexp_replace(output, gloss, "$1")).otherwise(output)
 
 
 def cut_appendix(c: Column) -> Column:

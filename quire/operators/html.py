@@ -34,18 +34,45 @@ def markdown(html: Column) -> Column:
     return F.trim(F.regexp_replace(F.regexp_replace(unescape(text), r"[ \t]+\n", "\n"), r"\n{3,}", "\n\n"), F.lit(" \t\n\r"))
 
 
+#: A link with any attributes, its target in double, single or no quotes, its label with any tags inside.
+LINK = r"""(?is)<a(?:\s[^>]*)?\shref\s*=\s*("[^"]*"|'[^']*'|[^\s>"']+)[^>]*>(.*?)</a\s*>"""
+
+
+def plain(html: Column) -> Column:
+    """The text of a fragment: tags gone, entities read."""
+    return unescape(F.regexp_replace(html, r"<[^>]*>", ""))
+
+
 def links(pages: DataFrame) -> DataFrame:
     """page_id, pos, href, label of every link."""
-    found = F.regexp_extract_all("html", F.lit(r'<a href="([^"]*)"[^>]*>([^<]*)</a>'), 1)
-    labels = F.regexp_extract_all("html", F.lit(r'<a href="([^"]*)"[^>]*>([^<]*)</a>'), 2)
-    return pages.select("page_id", "url", F.posexplode(F.arrays_zip(found.alias("href"), labels.alias("label"))).alias("pos", "a")).select("page_id", "url", "pos", "a.href", unescape(F.col("a.label")).alias("label"))
+    found = F.arrays_zip(*(F.regexp_extract_all("html", F.lit(LINK), k).alias(name) for k, name in ((1, "href"), (2, "label"))))
+    rows = pages.select("page_id", "url", F.posexplode(found).alias("pos", "a"))
+    return rows.select("page_id", "url", "pos", unescape(F.regexp_replace("a.href", r"""^["']|["']$""", "")).alias("href"), plain(F.col("a.label")).alias("label"))
+
+
+def title(html: Column) -> Column:
+    """The text of the first h1, whatever its attributes and inner tags; empty without one."""
+    return plain(F.regexp_extract(html, r"(?is)<h1(?:\s[^>]*)?>(.*?)</h1\s*>", 1))
+
+
+def without_dots(path: Column) -> Column:
+    """A path with `.` and `..` resolved: a fold over its steps."""
+    def put(kept: Column, step: Column) -> Column:
+        return F.when(step == "..", F.slice(kept, 1, F.greatest(F.size(kept) - 1, F.lit(0)))).when(step == ".", kept).otherwise(F.concat(kept, F.array(step)))
+
+    steps = F.split(F.regexp_replace(F.regexp_replace(path, "^/", ""), r"(^|/)(\.\.?)$", "$1$2/"), "/")
+    return F.concat(F.lit("/"), F.array_join(F.aggregate(steps, F.array().cast("array<string>"), put), "/"))
 
 
 def resolve(url: Column, href: Column) -> Column:
-    """An absolute link; null for scripts; fragments are kept (A10)."""
-    origin, folder = F.regexp_extract(url, r"^([a-z]+://[^/]+)", 1), F.regexp_extract(url, r"^([a-z]+://[^/]+(?:/[^?#]*/|/?))", 1)
-    return (F.when(F.lower(href).startswith("javascript:"), None).when(href.rlike(r"^(?:https?|mailto|ftp|tel):"), href).when(href.startswith("//"), F.concat(F.lit("https:"), href)).when(href.startswith("/"), F.concat(origin, href))
-            .when(href.startswith("#"), F.concat(F.regexp_replace(url, "#.*$", ""), href)).otherwise(F.concat(F.regexp_replace(folder, r"([^/])$", "$1/"), href)))
+    """An absolute link, against the page's address without its query and fragment; null for scripts; fragments are kept,
+    `.` and `..` resolved (A10)."""
+    origin, path = F.regexp_extract(url, r"^([a-z]+://[^/?#]+)", 1), F.regexp_extract(url, r"^[a-z]+://[^/?#]+([^?#]*)", 1)
+    folder = F.regexp_replace(F.when(path == "", "/").otherwise(path), r"[^/]*$", "")
+    tail = F.regexp_extract(href, r"([?#].*)$", 1)
+    return (F.when(F.lower(href).startswith("javascript:"), None).when(href.rlike(r"^[a-zA-Z][a-zA-Z0-9+.-]*:"), href).when(href.startswith("//"), F.concat(F.regexp_extract(url, "^([a-z]+:)", 1), href))
+            .when(href == "", F.regexp_replace(url, "#.*$", "")).when(href.startswith("#"), F.concat(F.regexp_replace(url, "#.*$", ""), href)).when(href.startswith("?"), F.concat(origin, path, href))
+            .otherwise(F.concat(origin, without_dots(F.concat(F.when(href.startswith("/"), "").otherwise(folder), F.regexp_replace(href, r"[?#].*$", ""))), tail)))
 
 
 def first_labels(found: DataFrame) -> DataFrame:

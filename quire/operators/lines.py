@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -41,21 +45,84 @@ def chunk_sizes(parts: Column, most: int, joint: int = 2) -> Column:
     return F.filter(F.aggregate(parts, zero, put), lambda c: c["parts"] > 0)
 
 
-def pieces(text: Column, most: int) -> Column:
-    """A block that is too long, by sentences joined up to `most` characters; fences, images and tables stay whole."""
-    atomic = text.startswith("```") | text.rlike(r"^!\[[^\]]*\]\([^)]*\)$") | (text.rlike(r"^\|") & text.contains("\n"))
-    sentences = F.split(text, r"(?<=[.!?\x{3002}\x{FF01}\x{FF1F}])[ \n]+")
-    put = lambda acc, s: F.when((F.size(acc) > 0) & (F.length(F.element_at(acc, -1)) + 1 + F.length(s) <= most), F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(F.concat_ws(" ", F.element_at(acc, -1), s)))).otherwise(F.concat(acc, F.array(s)))
-    return F.when(atomic | (F.length(text) <= most), F.array(text)).otherwise(F.aggregate(sentences, F.array().cast("array<string>"), put))
+#: A sentence: up to its closing marks and quotes, or to the end.
+SENTENCE = re.compile(r"""(?s).+?(?:[.!?。！？]+["'”’)]*(?:\s+|$)|$)""")
+IMAGE = re.compile(r"(?s)!\[[^\]]*]\([^)]+\)")
+
+
+def fenced_blocks(text: str) -> Iterator[str]:
+    """Blocks parted by blank lines, but not by those inside ``` fences."""
+    held, fenced = [], False
+    for line in text.splitlines():
+        mark = line.strip().startswith("```")
+        fenced ^= mark
+        if line.strip() or fenced or mark:
+            held.append(line)
+        elif held:
+            yield "\n".join(held).strip()
+            held = []
+    if held:
+        yield "\n".join(held).strip()
+
+
+def whole_block(block: str) -> bool:
+    """Fences, images and tables are never cut."""
+    rows = [r for r in map(str.strip, block.splitlines()) if r]
+    table = len(rows) > 1 and all(r[0] == r[-1] == "|" for r in rows)
+    return table or (block.startswith("```") and block.endswith("```")) or bool(IMAGE.fullmatch(block))
+
+
+def cut_block(block: str, most: int) -> Iterator[str]:
+    """A block by its sentences (where it is only one, by its lines), joined by a blank while they fit in `most`."""
+    if whole_block(block):
+        yield block
+        return
+    units = [u for u in (m.group().strip() for m in SENTENCE.finditer(block)) if u]
+    if len(units) == 1 and "\n" in block:
+        units = [u for u in map(str.strip, block.splitlines()) if u]
+    held = ""
+    for unit in units:
+        if held and len(held) + 1 + len(unit) > most:
+            yield held
+            held = unit
+        else:
+            held = f"{held} {unit}" if held else unit
+    if held:
+        yield held
+
+
+def chunk_texts(text: str | None, most: int) -> Iterator[str]:
+    """Blocks filled in order into chunks of at most `most` characters, each block counted with its blank line. A block that
+    alone is too long is cut if no chunk is open, else it is a chunk of its own (E03)."""
+    held, size = [], 0
+    for block in fenced_blocks(text or ""):
+        cost = len(block) + 2
+        if held and size + cost > most:
+            yield "\n\n".join(held)
+            held, size = [], 0
+        elif not held and cost > most:
+            yield from cut_block(block, most)
+            continue
+        held.append(block)
+        size += cost
+    if held:
+        yield "\n\n".join(held)
 
 
 def chunks(docs: DataFrame, most: int = 5000) -> DataFrame:
-    """doc_id, chunk (dense from 0), text, chars of every document's lines, oversized ones cut."""
-    parts = F.flatten(F.transform(F.split("text", "\n"), lambda x: pieces(x, most)))
-    with_parts = docs.select("doc_id", parts.alias("_p")).withColumn("_c", chunk_sizes(F.col("_p"), most))
-    ends = F.transform("_c", lambda c, i: F.aggregate(F.slice("_c", 1, i + 1), F.lit(0), lambda n, x: n + x["parts"]))
-    cut = with_parts.withColumn("_e", ends).select("doc_id", "_p", "_c", F.posexplode("_e").alias("chunk", "_end"))
-    return cut.select("doc_id", "chunk", F.array_join(F.expr("slice(_p, _end - _c[chunk].parts + 1, _c[chunk].parts)"), "\n\n").alias("text")).withColumn("chars", F.length("text"))
+    """doc_id, chunk (dense from 0), text, chars of every document (E03, E15). The filling depends on all blocks before, so it runs over
+    Arrow batches, document by document: linear in the text, no shuffle, one chunk in memory beside its document."""
+    kind = dict(docs.dtypes)["doc_id"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(batch.num_rows):
+                texts = list(chunk_texts(batch["text"][at].as_py(), most))
+                if texts:
+                    ids = batch["doc_id"].take(pa.array([at] * len(texts)))
+                    yield pa.RecordBatch.from_arrays([ids, pa.array(range(len(texts)), pa.int32()), pa.array(texts, pa.string())], names=["doc_id", "chunk", "text"])
+
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, chunk int, text string").withColumn("chars", F.length("text"))
 
 
 def without_running_text(rows: DataFrame, least: int = 3) -> DataFrame:

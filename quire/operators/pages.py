@@ -53,11 +53,15 @@ def page_kind(lines: Column, page: Column, total: Column, title: Column) -> Colu
     entries = _some(full, 25, entry)
     page_refs = F.aggregate(F.slice(full, 1, 25), F.lit(0), lambda a, x: a + F.regexp_count(x, F.lit(r",\s*[0-9]+")))
     back = _some(low, 25, lambda x: x.contains("written by"))
-    short = _some(full, 1000, lambda x: (P.words(x) <= 8) & ~x.endswith("."))
+    # the contents rules read the first 20 lines, without heading and quote marks
+    top = F.transform(F.slice(low, 1, 20), lambda x: F.regexp_replace(x, r"^[#>\s]+", ""))
+    short = F.size(F.filter(top, lambda x: (P.words(x) >= 1) & (P.words(x) <= 8) & ~x.endswith(".")))
+    long = F.size(F.filter(top, lambda x: (P.words(x) >= 18) & x.endswith(".")))
+    apparatus = F.regexp_count(F.array_join(top, " "), F.lit(r"\b(?:notes|references|bibliography|index)\s+[0-9]+\b"))
     rules = [
         (chars == 0, "visual_only"),
-        ((_some(low, 20, lambda x: x.contains("table of contents")) > 0) | (_some(low, 3, lambda x: x == "contents") > 0) | (_some(full, 1000, P.toc_line) >= 4), "toc"),
-        (early & (short >= 8) & (_some(full, 1000, lambda x: P.words(x) >= 18) == 0) & (_some(low, 1000, lambda x: x.rlike(r"^(?:notes|references|bibliography|index)\s+[0-9]+$")) >= 2), "toc"),
+        (F.array_join(top, " ").contains("table of contents") | F.exists(F.slice(top, 1, 3), lambda x: x == "contents") | (_some(full, 20, P.toc_line) >= 4), "toc"),
+        (early & ((apparatus >= 2) | ((short >= 8) & (long == 0))), "toc"),
         ((refs > 0) | (~early & ((cited >= 5) | ((page * 100 >= total * 85) & (cited >= 2)))), "references"),
         ((_some(low, 4, lambda x: x == "index") > 0) | ((n <= 4) & (entries >= 1) & (page_refs >= 4)) | (entries >= 8) | (page_refs >= 14), "index"),
         ((n >= 4) & (_some(full, 20, lambda x: (F.regexp_count(x, F.lit("[0-9]")) >= 6) | x.contains("|") | x.contains("\t")) >= 4), "table_heavy"),

@@ -60,7 +60,7 @@ def fixed_chunks(text: str, size: int = 10_000) -> list[str]:
 
 def gloss_pollution(source: Column, output: Column) -> Column:
     """More glosses than the source has, and at least three."""
-    gloss = r"[A-Za-z]{2,}[(\x{FF08}][\x{4E00}-\x{9FFF}]+[)\x{FF09}]"
+    gloss = r"[A-Za-z]{2}[(\x{FF08}][\x{4E00}-\x{9FFF}]+[)\x{FF09}]"
     n = F.regexp_count(output, F.lit(gloss))
     return (n >= 3) & (n > F.regexp_count(source, F.lit(gloss)))
 
@@ -93,7 +93,7 @@ def polish_reject(before: Column, after: Column) -> Column:
 
 
 def hard_term(enforcement: Column, updated_by: Column) -> Column:
-    return (enforcement == "hard") | (enforcement.isNull() & (F.coalesce(updated_by, F.lit("")) != "user"))
+    return F.coalesce(enforcement == "hard", F.coalesce(updated_by, F.lit("")) != "user")
 
 
 def missing_targets(pairs: DataFrame, selected: DataFrame, key: str) -> DataFrame:

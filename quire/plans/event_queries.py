@@ -97,7 +97,7 @@ def href_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def html_headings(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = table(spark, sf_dir, "pages")
-    return p.select("page_id", H.unescape(F.regexp_extract("html", r"<h1>([^<]*)</h1>", 1)).alias("title"), F.regexp_count("html", F.lit("<p>")).cast("long").alias("paragraphs"), F.regexp_count("html", F.lit("<li>")).cast("long").alias("items"))
+    return p.select("page_id", H.title(F.col("html")).alias("title"), F.regexp_count("html", F.lit("<p>")).cast("long").alias("paragraphs"), F.regexp_count("html", F.lit("<li>")).cast("long").alias("items"))
 
 
 def html_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -122,10 +122,15 @@ LOG = "lg AS (SELECT user_id AS job, user_id AS key, json_extract(props, '$.k'):
 CHUNKS = LOG + """, s AS (SELECT *, CASE event WHEN 'attempt_start' THEN 'running' WHEN 'attempt_success' THEN 'completed' WHEN 'cache_hit' THEN 'completed' WHEN 'attempt_failure' THEN 'failed' END AS s FROM lg WHERE event <> 'job_started'), cs AS (SELECT job, chunk, CASE WHEN bool_or(s = 'completed') THEN 'completed' ELSE arg_max(s, seq) END AS state, sum((event = 'attempt_start')::int)::bigint AS attempts, max((event = 'cache_hit')::int) AS cache_hit FROM s GROUP BY ALL)"""
 PROGRESS = CHUNKS + """, j AS (SELECT job, sum((state = 'completed')::int)::bigint AS completed, sum((state = 'failed')::int)::bigint AS failed, sum((state = 'running')::int)::bigint AS running, 0::bigint AS retrying, sum(cache_hit)::bigint AS cache_hits FROM cs GROUP BY 1), sp AS (SELECT job, floor((epoch_us(max(ts)) - epoch_us(min(ts))) / 1000000)::bigint AS elapsed FROM lg GROUP BY 1),
  pg AS (SELECT j.*, elapsed, greatest(100 - completed - failed, 0) AS remaining, CASE WHEN completed > 0 THEN floor(elapsed * greatest(100 - completed - failed, 0) / completed)::bigint END AS eta FROM j JOIN sp USING (job))"""
-LINKS = """a AS (SELECT page_id, url, unnest(regexp_extract_all(html, '<a href="([^"]*)"[^>]*>([^<]*)</a>', 1)) AS href, unnest(regexp_extract_all(html, '<a href="([^"]*)"[^>]*>([^<]*)</a>', 2)) AS raw, generate_subscripts(regexp_extract_all(html, '<a href="([^"]*)"[^>]*>([^<]*)</a>', 1), 1) - 1 AS pos FROM pages)"""
+LINK = H.LINK.replace("'", "''")
+LINKS = f"""r AS (SELECT page_id, url, regexp_extract_all(html, '{LINK}', 1) AS hrefs, regexp_extract_all(html, '{LINK}', 2) AS raws FROM pages),
+ u AS (SELECT page_id, url, unnest(hrefs) AS quoted, unnest(raws) AS tagged, generate_subscripts(hrefs, 1) - 1 AS pos FROM r)"""
 UNESCAPE = "replace(replace(replace(replace(replace(replace({}, '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&#39;', ''''), '&nbsp;', ' '), '&amp;', '&')"
 
 
+LINKS += f""", a AS (SELECT page_id, url, pos, {UNESCAPE.format("regexp_replace(quoted, '^[\"'']|[\"'']$', '', 'g')")} AS href, {UNESCAPE.format("regexp_replace(tagged, '<[^>]*>', '', 'g')")} AS label FROM u)"""
+
+
 def _markdown_sql() -> str:
     x = "html"
     for tag in ("script", "style", "nav", "header", "footer", "aside"):
@@ -152,10 +157,14 @@ ORACLES = {
     "events_session": f"WITH {LOG}, g AS (SELECT key, ts, coalesce((ts - lag(ts) OVER (PARTITION BY key ORDER BY ts) >= INTERVAL 30 MINUTE)::int, 1) AS nw FROM lg), i AS (SELECT *, sum(nw) OVER (PARTITION BY key ORDER BY ts ROWS UNBOUNDED PRECEDING) AS s FROM g) SELECT key, count(*) AS n, epoch_us(min(ts)) AS first_us, epoch_us(max(ts)) AS last_us FROM i GROUP BY key, s",
     "progress_format": f"WITH {PROGRESS} SELECT job, repeat('#', floor(completed * 28 / 100)::int) || repeat('-', 28 - floor(completed * 28 / 100)::int) AS bar, (eta // 60)::varchar || 'm ' || lpad((eta % 60)::varchar, 2, '0') || 's' AS eta FROM pg",
     "error_classes": f"WITH {LOG}, e AS (SELECT CASE seq % 5 WHEN 0 THEN 'permanent' WHEN 1 THEN 'transient' WHEN 2 THEN 'transient' WHEN 3 THEN 'retryable' ELSE 'none' END AS class FROM lg WHERE event = 'attempt_failure') SELECT class, count(*) AS n FROM e GROUP BY 1",
-    "html_links": f"WITH {LINKS} SELECT page_id, pos, href, {UNESCAPE.format('raw')} AS label FROM a",
-    "url_resolve": f"""WITH {LINKS} SELECT page_id, pos, CASE WHEN starts_with(lower(href), 'javascript:') THEN NULL WHEN regexp_matches(href, '^(?:https?|mailto|ftp|tel):') THEN href WHEN starts_with(href, '//') THEN 'https:' || href WHEN starts_with(href, '/') THEN regexp_extract(url, '^([a-z]+://[^/]+)', 1) || href WHEN starts_with(href, '#') THEN regexp_replace(url, '#.*$', '') || href ELSE regexp_replace(regexp_extract(url, '^([a-z]+://[^/]+(?:/[^?#]*/|/?))', 1), '([^/])$', '\\1/') || href END AS link FROM a""",
-    "toc_labels": f"WITH {LINKS}, m AS (SELECT href, min({{'p': page_id, 's': pos, 'l': {UNESCAPE.format('raw')}}}) AS m, count(*) AS n FROM a GROUP BY 1) SELECT href, m.l AS label, n FROM m",
+    "html_links": f"WITH {LINKS} SELECT page_id, pos, href, label FROM a",
+    "url_resolve": f"""WITH {LINKS}, o AS (SELECT *, regexp_extract(url, '^([a-z]+://[^/?#]+)', 1) AS origin, regexp_extract(url, '^[a-z]+://[^/?#]+([^?#]*)', 1) AS path FROM a),
+ f AS (SELECT *, CASE WHEN starts_with(href, '/') THEN '' ELSE regexp_replace(CASE WHEN path = '' THEN '/' ELSE path END, '[^/]*$', '') END || regexp_replace(href, '[?#].*$', '') AS target FROM o),
+ s AS (SELECT *, regexp_replace('/' || regexp_replace(target, '^/', ''), '/[.]$', '/') AS t FROM f)
+ SELECT page_id, pos, CASE WHEN starts_with(lower(href), 'javascript:') THEN NULL WHEN regexp_matches(href, '^[a-zA-Z][a-zA-Z0-9+.-]*:') THEN href WHEN starts_with(href, '//') THEN regexp_extract(url, '^([a-z]+:)', 1) || href WHEN href = '' THEN regexp_replace(url, '#.*$', '')
+  WHEN starts_with(href, '#') THEN regexp_replace(url, '#.*$', '') || href WHEN starts_with(href, '?') THEN origin || path || href ELSE origin || t || regexp_extract(href, '([?#].*)$', 1) END AS link FROM s""",
+    "toc_labels": f"WITH {LINKS}, m AS (SELECT href, min({{'p': page_id, 's': pos, 'l': label}}) AS m, count(*) AS n FROM a GROUP BY 1) SELECT href, m.l AS label, n FROM m",
     "href_validation": f"WITH {LINKS}, t AS (SELECT DISTINCT href AS t FROM a WHERE page_id % 2 = 0), j AS (SELECT a.page_id, a.href, t FROM a LEFT JOIN t ON a.href = t) SELECT page_id, count(*) AS links, sum((t IS NOT NULL)::int)::bigint AS resolved, coalesce(array_to_string(list_sort(list_distinct(list(href) FILTER (WHERE t IS NULL)))[1:50], ','), '') AS missing FROM j GROUP BY 1",
-    "html_headings": f"SELECT page_id, {UNESCAPE.format('''regexp_extract(html, '<h1>([^<]*)</h1>', 1)''')} AS title, len(regexp_extract_all(html, '<p>')) AS paragraphs, len(regexp_extract_all(html, '<li>')) AS items FROM pages",
+    "html_headings": f"SELECT page_id, {UNESCAPE.format('''regexp_replace(regexp_extract(html, '(?is)<h1(?:\\s[^>]*)?>(.*?)</h1\\s*>', 1), '<[^>]*>', '', 'g')''')} AS title, len(regexp_extract_all(html, '<p>')) AS paragraphs, len(regexp_extract_all(html, '<li>')) AS items FROM pages",
     "html_main_text": f"WITH m AS (SELECT page_id, {_markdown_sql()} AS m FROM pages) SELECT page_id, length(m) AS chars, md5(m) AS digest FROM m",
 }

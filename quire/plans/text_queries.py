@@ -61,8 +61,15 @@ def noise_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.groupBy("doc_id").agg(*[F.sum(F.col(c).cast("long")).alias(c) for c in ("formula", "note", "page_number", "toc")])
 
 
+#: Beginnings of lines that the rules of ocr_reasons catch.
+SPOILT = ("", "forMen ", "inTo ", "\u0001\u0002 ", "12:30 4-5 6/7 8. 9 10 ", "$$ ## == ", "-- ,, ;; :: !! ")
+
+
 def ocr_assessment(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = L.lines(docs(spark, sf_dir)).withColumn("reasons", P.ocr_reasons(F.col("line"))).withColumn("score", P.ocr_score(F.col("reasons")))
+    spoilt = F.element_at(F.array(*(F.lit(x) for x in SPOILT)), (F.col("pos") % len(SPOILT) + 1).cast("int"))
+    rows = L.lines(docs(spark, sf_dir)).withColumn("line", F.when(F.col("pos") % 2 == 0, F.concat(spoilt, F.col("line"))).otherwise(F.concat(spoilt, F.substring("line", 1, 20))))
+    evidence = F.when(F.col("pos") % 3 == 0, F.upper("line")).when(F.col("pos") % 3 == 1, F.lit("other words"))
+    rows = rows.withColumn("reasons", P.ocr_reasons(F.col("line"), evidence=evidence)).withColumn("score", P.ocr_score(F.col("reasons")))
     return rows.withColumn("verdict", P.ocr_verdict(F.col("score"))).groupBy("verdict").agg(F.count("*").alias("n"), F.sum("score").cast("long").alias("total_score"), F.sum(F.size("reasons")).cast("long").alias("reasons"))
 
 
@@ -82,8 +89,7 @@ def reflow_islands(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def chunk_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
-    packed = docs(spark, sf_dir).select("doc_id", F.posexplode(L.chunk_sizes(F.split("text", "\n"), 300)).alias("chunk", "c"))
-    return packed.select("doc_id", "chunk", F.col("c.size").cast("long").alias("size"), F.col("c.parts").cast("long").alias("parts"))
+    return L.chunks(docs(spark, sf_dir), 300).select("doc_id", F.col("chunk").cast("long").alias("chunk"), F.col("chars").cast("long").alias("size"), F.md5("text").alias("digest"))
 
 
 def chunk_estimates(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -190,10 +196,29 @@ PACK = """WITH RECURSIVE l AS (SELECT doc_id, source, length(text) AS chars, lis
  w AS (SELECT doc_id, 1 AS i, 0 AS chunk, costs[1] AS size, 1 AS parts, costs FROM l
    UNION ALL SELECT doc_id, i + 1, CASE WHEN size + costs[i + 1] > {0} THEN chunk + 1 ELSE chunk END, CASE WHEN size + costs[i + 1] > {0} THEN costs[i + 1] ELSE size + costs[i + 1] END, CASE WHEN size + costs[i + 1] > {0} THEN 1 ELSE parts + 1 END, costs FROM w WHERE i < len(costs)),
  packed AS (SELECT doc_id, chunk, max(size) AS size, max(parts) AS parts FROM w GROUP BY ALL) """
+#: Chunks by the rule itself: blocks between blank lines outside fences, filled in order; a block that is too long and meets no open
+#: chunk goes by its sentences, or by its lines if it is one sentence.
+CHUNKS = r"""WITH RECURSIVE l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS pos FROM documents WHERE text IS NOT NULL),
+ f AS (SELECT *, starts_with(trim(line, E' \t\r'), '```') AS mark, sum(starts_with(trim(line, E' \t\r'), '```')::int) OVER (PARTITION BY doc_id ORDER BY pos) AS marks FROM l),
+ b AS (SELECT *, NOT mark AND marks % 2 = 0 AND trim(line, E' \t\r') = '' AS blank FROM f), i AS (SELECT *, sum(blank::int) OVER (PARTITION BY doc_id ORDER BY pos) AS island FROM b),
+ blocks AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY island) AS k, t, length(t) + 2 AS cost FROM (SELECT doc_id, island, trim(string_agg(line, chr(10) ORDER BY pos), E' \t\r\n') AS t FROM i WHERE NOT blank GROUP BY ALL)),
+ units0 AS (SELECT *, list_filter(list_transform(regexp_extract_all(t, '(?s).+?(?:[.!?。！？]+["''”’)]*(?:\s+|$)|$)'), lambda x: trim(x, E' \t\r\n')), lambda x: x <> '') AS s FROM blocks WHERE cost > {0}),
+ units AS (SELECT doc_id, k, CASE WHEN (starts_with(t, '```') AND ends_with(t, '```')) OR regexp_full_match(t, '(?s)!\[[^\]]*\]\([^)]+\)') THEN [t] WHEN len(s) = 1 AND contains(t, chr(10)) THEN list_filter(list_transform(string_split(t, chr(10)), lambda x: trim(x, E' \t\r')), lambda x: x <> '') ELSE s END AS s FROM units0),
+ cut AS (SELECT doc_id, k, s, 1 AS n, s[1] AS held, []::varchar[] AS done FROM units UNION ALL SELECT doc_id, k, s, n + 1, CASE WHEN length(held) + 1 + length(s[n + 1]) > {0} THEN s[n + 1] ELSE held || ' ' || s[n + 1] END, CASE WHEN length(held) + 1 + length(s[n + 1]) > {0} THEN list_append(done, held) ELSE done END FROM cut WHERE n < len(s)),
+ parts AS (SELECT doc_id, k, list_append(done, held) AS parts FROM cut WHERE n = len(s)),
+ step AS (SELECT doc_id, 0 AS k, 0 AS size, []::varchar[] AS held, []::varchar[] AS flushed FROM (SELECT DISTINCT doc_id FROM blocks)
+   UNION ALL SELECT p.doc_id, b.k, CASE WHEN len(p.held) = 0 AND b.cost > {0} THEN 0 WHEN len(p.held) > 0 AND p.size + b.cost > {0} THEN b.cost ELSE p.size + b.cost END,
+    CASE WHEN len(p.held) = 0 AND b.cost > {0} THEN [] WHEN len(p.held) > 0 AND p.size + b.cost > {0} THEN [b.t] ELSE list_append(p.held, b.t) END,
+    CASE WHEN len(p.held) = 0 AND b.cost > {0} THEN parts.parts WHEN len(p.held) > 0 AND p.size + b.cost > {0} THEN [array_to_string(p.held, chr(10) || chr(10))] ELSE [] END
+   FROM step p JOIN blocks b ON b.doc_id = p.doc_id AND b.k = p.k + 1 LEFT JOIN parts ON parts.doc_id = b.doc_id AND parts.k = b.k),
+ ends AS (SELECT doc_id, k, unnest(flushed) AS t, generate_subscripts(flushed, 1) AS j FROM step UNION ALL SELECT doc_id, k + 1, array_to_string(held, chr(10) || chr(10)), 1 FROM (SELECT * FROM step QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY k DESC) = 1) WHERE len(held) > 0),
+ numbered AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY k, j) - 1 AS chunk, t FROM ends)"""
 REPEATED = f"""l AS ({LINES}), s AS (SELECT doc_id, lower({LINE}) AS k, count(*) AS n FROM l GROUP BY ALL), r AS (SELECT l.*, n >= 3 AND {RUNNING} AS repeated FROM l JOIN s ON s.doc_id = l.doc_id AND s.k = lower({LINE}))"""
 HINTS = " ".join(f"WHEN contains(lower(title), '{p.replace(chr(39), chr(39) * 2)}') THEN '{k}'" for p, k in P.TITLE_HINTS)
 DEFECT_SQL = " UNION ALL ".join(f"SELECT '{k}' AS defect, {int(k in L.BLOCKING)} AS blocking, len(regexp_extract_all(text, '{p.replace(chr(39), chr(39) * 2)}')) AS n FROM documents" for k, p in L.DEFECTS.items())
 
+SPOILT_SQL = "([" + ", ".join(f"'{x}'" for x in SPOILT) + "])"
+
 ORACLES = {
     "line_cleanup_rollup": f"WITH {REPEATED}, g AS (SELECT *, repeated OR regexp_matches({LINE}, '^(?:[0-9]+|[ivxlcdmIVXLCDM]+)$') AS gone FROM r) SELECT doc_id, count(*) AS lines, sum(gone::int)::bigint AS dropped, sum(CASE WHEN gone THEN 0 ELSE length(line) END)::bigint AS kept_chars FROM g GROUP BY doc_id",
     "char_class_profile": """WITH c AS (SELECT doc_id, len(regexp_extract_all(text, '[A-Za-z]')) AS letters, len(regexp_extract_all(text, '[\\x{4E00}-\\x{9FFF}]')) AS cjk, len(regexp_extract_all(text, '[0-9]')) AS digits, len(regexp_extract_all(text, '[^ \\t\\n\\r]+')) AS words, length(text) AS chars FROM documents)
@@ -205,16 +230,18 @@ ORACLES = {
     "noise_filter": f"""WITH l AS ({LINES}), f AS (SELECT doc_id, line, {LINE} AS s FROM l), g AS (SELECT *, len(regexp_extract_all(s, '[=+*/^_<>|]')) AS sy, len(regexp_extract_all(s, '[A-Za-z0-9]')) AS al FROM f)
   SELECT doc_id, sum(((length(s) <= 1 AND sy > 0) OR (length(s) <= 12 AND sy > 0 AND NOT regexp_matches(s, '[A-Za-z]{{2}}')) OR (length(s) <= 24 AND sy >= greatest(2, al)))::int)::bigint AS formula, sum(regexp_matches(line, '^(?:[0-9]+|\\*|†|‡)[ \\t]+')::int)::bigint AS note,
   sum(regexp_matches(s, '^(?:[0-9]+|[ivxlcdmIVXLCDM]+)$')::int)::bigint AS page_number, sum(regexp_matches(s, '\\.{{2,}}[ \\t]*[0-9]+$|^[0-9]+[ \\t]+[A-Z].*[0-9]+$')::int)::bigint AS toc FROM g GROUP BY doc_id""",
-    "ocr_assessment": f"""WITH l AS ({LINES}), f AS (SELECT line, greatest(length(line), 1) AS n, list_filter(regexp_split_to_array(line, '[ \\t\\n\\r]+'), lambda x: x <> '') AS tok FROM l),
-  h AS (SELECT len(regexp_extract_all(line, '{CTRL}')) / n >= 0.02 AS a, (len(regexp_extract_all(line, '[$+<=>^`|~]')) / n >= 0.06 OR len(regexp_extract_all(line, '[!-#%-*,-/:;?@\\[-\\]_{{}}]')) / n >= 0.20) AS b,
-    len(tok) > 0 AND len(list_filter(tok, lambda x: regexp_matches(x, '^[0-9:/.-]{{1,8}}$'))) / greatest(len(tok), 1) >= 0.45 AS c, regexp_matches(line, '(?:^|[^A-Za-z])(?:the|and|of|in|to)[A-Z][a-z]+') AS d FROM f),
-  s AS (SELECT a::int + b::int + c::int + d::int AS k, least(100, 65 * a::int + 25 * b::int + 40 * c::int + 55 * d::int) AS score FROM h)
+    "ocr_assessment": f"""WITH l0 AS ({LINES}), l AS (SELECT pos, {SPOILT_SQL}[pos % {len(SPOILT)} + 1] || CASE WHEN pos % 2 = 0 THEN line ELSE substring(line, 1, 20) END AS line FROM l0),
+  e AS (SELECT pos, line, list_distinct(regexp_extract_all(lower(line), '[\\pL\\pM\\p{{Nd}}_]+')) AS mine, CASE pos % 3 WHEN 0 THEN list_distinct(regexp_extract_all(lower(upper(line)), '[\\pL\\pM\\p{{Nd}}_]+')) WHEN 1 THEN ['other', 'words'] END AS theirs FROM l),
+  f AS (SELECT mine, theirs, line, greatest(length(line), 1) AS n, list_filter(regexp_split_to_array(line, '[\\s\\x0b\\x85\\pZ]+'), lambda x: x <> '') AS tok FROM e),
+  h AS (SELECT len(regexp_extract_all(line, '{CTRL}')) / n >= 0.02 AS a, (len(regexp_extract_all(line, '[^\\pL\\pN\\pZ\\s\\x0b''’.,;:!?–—()\\[\\]-]')) / n >= 0.06 OR len(regexp_extract_all(line, '[^\\pL\\pN\\pZ\\s\\x0b]')) / n >= 0.20) AS b,
+    len(tok) > 0 AND len(list_filter(tok, lambda x: regexp_matches(x, '^[\\p{{Nd}}:/.-]{{1,8}}$'))) / greatest(len(tok), 1) >= 0.45 AS c, regexp_matches(line, '\\b(?:of|and|the|in|to|for)[A-Z][a-z]{{2,}}') AS d, theirs IS NOT NULL AND len(list_distinct(mine || theirs)) > 0 AND len(list_intersect(mine, theirs)) / greatest(len(list_distinct(mine || theirs)), 1) < 0.25 AS g FROM f),
+  s AS (SELECT a::int + b::int + c::int + d::int + g::int AS k, least(100, 65 * a::int + 25 * b::int + 40 * c::int + 55 * d::int + 45 * g::int) AS score FROM h)
   SELECT CASE WHEN score >= 82 THEN 'suspect_ocr' WHEN score >= 55 THEN 'review' ELSE 'reading' END AS verdict, count(*) AS n, sum(score)::bigint AS total_score, sum(k)::bigint AS reasons FROM s GROUP BY 1""",
     "running_text_removed": f"WITH {REPEATED} SELECT doc_id, count(*) AS removed, sum(length(line))::bigint AS removed_chars FROM r WHERE repeated GROUP BY doc_id",
     "note_line_ratio": f"WITH l AS ({LINES}), g AS (SELECT doc_id, sum(regexp_matches(line, '^(?:[0-9]+|\\*|†|‡)[ \\t]+')::int)::bigint AS notes, count(*) AS lines FROM l WHERE {LINE} <> '' GROUP BY doc_id) SELECT *, notes * 100 > lines * 18 AS footnote_heavy FROM g",
     "reflow_islands": f"""WITH l AS ({LINES}), t AS (SELECT doc_id, pos, {LINE} AS s, {BLOCK_TYPE} AS kind FROM l), b AS (SELECT *, lag(s) OVER w AS before, lag(kind) OVER w AS before_kind FROM t WINDOW w AS (PARTITION BY doc_id ORDER BY pos)),
   j AS (SELECT *, before IS NOT NULL AND before_kind = 'plain' AND kind = 'plain' AND NOT regexp_matches(before, '[.!?:][''")]*$') AND regexp_matches(s, '^[a-z]') AS joins FROM b) SELECT doc_id, count(*) AS lines, sum((NOT joins)::int)::bigint AS paragraphs FROM j GROUP BY doc_id""",
-    "chunk_pack": PACK.format(300) + "SELECT doc_id, chunk, size, parts FROM packed",
+    "chunk_pack": CHUNKS.format(300) + " SELECT doc_id, chunk, length(t) AS size, md5(t) AS digest FROM numbered",
     "chunk_estimates": PACK.format(1200) + ", n AS (SELECT doc_id, count(*) AS c FROM packed GROUP BY 1) SELECT source, count(*) AS chapters, sum(chars)::bigint AS chars, sum(c)::bigint AS chunks, max(c) AS most FROM l JOIN n USING (doc_id) GROUP BY source",
     "segment_plan": PACK.format(800) + "SELECT doc_id, count(*) AS segments, doc_id::varchar || ':seg' || lpad(count(*)::varchar, 4, '0') AS last_id, sum(parts)::bigint AS lines FROM packed GROUP BY doc_id",
     "ingest_defects": f"SELECT defect, sum(n)::bigint AS n, count(*) AS docs, max(blocking) AS blocking FROM ({DEFECT_SQL}) WHERE n > 0 GROUP BY defect",

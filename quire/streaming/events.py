@@ -79,23 +79,35 @@ def windowed_counts(stream: DataFrame, every: str = "5 minutes", late: str = "10
 
 
 PROGRESS_OUT = "job long, completed long, failed long, running long, cache_hits long"
-_STATE = "chunks map<long,string>, hits long"
+#: Of each chunk: the greatest seq seen, the state it left, and whether a cache hit occurred.
+_STATE = "chunks map<long,struct<seq:long,state:string,hit:boolean>>"
 
 
-def progress_stream(stream: DataFrame) -> DataFrame:
-    """Progress of each job, updated as events arrive: one state a job, its chunks' last states."""
+def progress_stream(stream: DataFrame, idle: str = "24 hours") -> DataFrame:
+    """Progress of each job, updated as events arrive: one state a job (J03), the same as the batch form for any order and any cut into
+    micro-batches: a chunk is in the state that its event of greatest seq left, completed ones stay so, and a cache hit
+    counts once a chunk. Events more than `idle` behind the latest are too late; a job without events for that long ends and its
+    state is freed."""
+    wait = int(pd.Timedelta(idle).total_seconds() * 1000)
+
     def fold(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        chunks, hits = state.get if state.exists else ({}, 0)
-        chunks = dict(chunks)
+        if state.hasTimedOut:
+            state.remove()
+            return
+        chunks = {k: tuple(v) for k, v in state.get[0].items()} if state.exists else {}
+        latest = state.getCurrentWatermarkMs()
         for pdf in batches:
-            for chunk, event in pdf.sort_values("seq")[["chunk", "event"]].itertuples(index=False):
+            latest = max(latest, int(pdf["ts"].max().timestamp() * 1000))
+            for chunk, event, seq in pdf[["chunk", "event", "seq"]].itertuples(index=False):
                 if event not in STATES:
                     continue
-                hits += event == "cache_hit"
-                if chunks.get(chunk) != "completed":
-                    chunks[chunk] = STATES[event]
-        state.update((chunks, int(hits)))
-        seen = list(chunks.values())
-        yield pd.DataFrame([(key[0], seen.count("completed"), seen.count("failed"), seen.count("running"), int(hits))], columns=["job", "completed", "failed", "running", "cache_hits"])
-
-    return stream.groupBy("job").applyInPandasWithState(fold, PROGRESS_OUT, _STATE, "update", GroupStateTimeout.NoTimeout)
+                last, now, hit = chunks.get(chunk, (-1, None, False))
+                if now != "completed" and (seq > last or STATES[event] == "completed"):
+                    now = STATES[event]
+                chunks[chunk] = (max(int(seq), last), now, hit or event == "cache_hit")
+        state.update((chunks,))
+        state.setTimeoutTimestamp(latest + wait)
+        seen, hits = [s for _, s, _ in chunks.values()], sum(h for *_, h in chunks.values())
+        yield pd.DataFrame([(key[0], seen.count("completed"), seen.count("failed"), seen.count("running"), hits)], columns=["job", "completed", "failed", "running", "cache_hits"])
+
+    return stream.withWatermark("ts", idle).groupBy("job").applyInPandasWithState(fold, PROGRESS_OUT, _STATE, "update", GroupStateTimeout.EventTimeTimeout)

@@ -2,6 +2,7 @@
 
 import datetime
 import io
+import os
 import zipfile
 
 import pytest
@@ -60,8 +61,9 @@ def test_blocks_keep_fences(spark):
 def test_chunks(spark):
     docs = spark.createDataFrame([(1, "\n".join(["aaaa", "bbbb", "c" * 30, "One two. Three four. Five."])), (2, "")], "doc_id long, text string")
     got = lines.chunks(docs, 14).orderBy("doc_id", "chunk").collect()
-    assert [r.text for r in got if r.doc_id == 1] == ["aaaa\n\nbbbb", "c" * 30, "One two.", "Three four.", "Five."]
-    assert [r.chunk for r in got if r.doc_id == 1] == list(range(5))
+    # one block: lines follow each other, only its sentences part it
+    assert [r.text for r in got if r.doc_id == 1] == ["\n".join(["aaaa", "bbbb", "c" * 30, "One two."]), "Three four.", "Five."]
+    assert [(r.doc_id, r.chunk) for r in got] == [(1, 0), (1, 1), (1, 2)]
 
 
 def test_notes(spark):
@@ -144,6 +146,26 @@ def test_progress_stream_equals_batch(spark, tmp_path):
         assert (last[job].completed, last[job].failed, last[job].cache_hits) == (batch[job].completed, batch[job].failed, batch[job].cache_hits)
 
 
+def test_progress_stream_with_late_and_repeated_events(spark, tmp_path):
+    """Each event in a micro-batch of its own, later ones first, cache hits repeated: the same as the batch form."""
+    t0 = datetime.datetime(2024, 1, 1)
+    rows = [(1, 0, "attempt_failure", 5), (1, 0, "attempt_start", 4), (1, 1, "cache_hit", 8), (1, 1, "cache_hit", 7), (1, 2, "attempt_failure", 9), (1, 2, "attempt_success", 3)]
+    schema = "job long, chunk long, event string, seq long, ts timestamp"
+    for n, r in enumerate(rows):
+        spark.createDataFrame([(*r, t0 + datetime.timedelta(seconds=r[3]))], schema).coalesce(1).write.parquet(str(tmp_path / "in" / f"k={n}"))
+        # files are taken in order of their time
+        for f in (tmp_path / "in" / f"k={n}").glob("*.parquet"):
+            os.utime(f, (1_700_000_000 + n, 1_700_000_000 + n))
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in" / "k=*"))
+    q = events.progress_stream(stream).writeStream.outputMode("update").format("memory").queryName("late").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
+    q.awaitTermination(240)
+    updates = spark.sql("select * from late").collect()
+    batch = events.progress(spark.read.schema(schema).parquet(str(tmp_path / "in" / "k=*")), F.lit(5)).first()
+    last = updates[-1]
+    assert len(updates) == len(rows)
+    assert (last.completed, last.failed, last.running, last.cache_hits) == (batch.completed, batch.failed, batch.running, batch.cache_hits) == (2, 1, 0, 1)
+
+
 def test_translate_and_resume(spark):
     chunks = spark.createDataFrame([(0, "a cat"), (1, "a dog")], "chunk int, text string")
     run = translate.dictionary({"cat": "CAT", "a cat": "X"})
@@ -151,3 +173,46 @@ def test_translate_and_resume(spark):
     assert first.first().translated == "X"
     got = {r.chunk: (r.translated, r.cached) for r in translate.resume(chunks, first, run).collect()}
     assert got == {0: ("X", True), 1: ("a dog", False)}
+
+
+def test_chunks_keep_fences_and_paragraphs():
+    text = "# Title\n\nOne line\nstill one.\n\n```python\nprint(1)\n\nprint(2)\n```\n\nLast paragraph."
+    got = list(lines.chunk_texts(text, 40))
+    assert got == ["# Title\n\nOne line\nstill one.", "```python\nprint(1)\n\nprint(2)\n```", "Last paragraph."]
+    assert list(lines.chunk_texts("\n".join(f"line {i}" for i in range(20)), 30))[0] == "line 0 line 1 line 2 line 3"
+    assert all(len(c) <= 30 for c in lines.chunk_texts("\n".join(f"line {i}" for i in range(20)), 30))
+    assert list(lines.chunk_texts("First one. Second two! Third three? Fourth.", 24)) == ["First one. Second two!", "Third three? Fourth."]
+    table = "| a | b |\n| c | d |\n| e | f |"
+    assert list(lines.chunk_texts(table, 10)) == [table]
+    long = "A very long block that is too long."
+    assert list(lines.chunk_texts(f"open\n\n{long}\n\nend", 20)) == ["open", long, "end"]
+    assert list(lines.chunk_texts(None, 10)) == list(lines.chunk_texts(" \n\n", 10)) == []
+
+
+def test_ocr_rules(spark):
+    rows = [("forMen came", None), ("ofAb cd", None), ("Étude à l'œuvre, très « bien »", None), ("", ""), ("Some Words", "some words"), ("Some words", "other text here")]
+    df = spark.createDataFrame(rows, "t string, e string").select("t", "e", P.ocr_reasons(F.col("t"), evidence=F.col("e")).alias("r"))
+    got = [r.r for r in df.collect()]
+    assert got == [["impossible_word_join"], [], ["symbol_density"], [], [], ["evidence_disagreement"]]
+
+
+def test_contents_page(spark):
+    from quire.operators import pages
+
+    def kind(lines_, page=3, total=200):
+        return spark.createDataFrame([(lines_,)], "l array<string>").select(pages.page_kind(F.col("l"), F.lit(page), F.lit(total), F.lit(None)).alias("k")).first().k
+
+    assert kind([f"Some title {i}" for i in range(9)]) == "toc"  # eight short lines, or
+    assert kind(["A line of prose that is rather longer than eight words for sure", "Notes 201", "Index 230"]) == "toc"  # two references
+    assert kind([f"Some title {i}" for i in range(9)], page=100) == "body"
+    assert kind([*(f"Some title {i}" for i in range(9)), " ".join(["word"] * 19) + "."]) != "toc"
+
+
+def test_links_of_any_shape(spark):
+    from quire.operators import html
+
+    page = """<h1 class="x">A <em>b</em></h1><a class="k" href="/p">one</a> <a href="/q"><b>two</b></a> <A HREF='r?x=1&amp;y=2'>three</A> <a href=../s/./t>four</a> <a name="n">no</a> <a href="?z">five</a> <area data-href="/no">"""
+    df = spark.createDataFrame([(1, "https://h.org/a/b/c.html?old#f", page)], "page_id long, url string, html string")
+    assert df.select(html.title(F.col("html"))).first()[0] == "A b"
+    got = html.links(df).select("label", html.resolve(F.col("url"), F.col("href")).alias("to")).collect()
+    assert [tuple(r) for r in got] == [("one", "https://h.org/p"), ("two", "https://h.org/q"), ("three", "https://h.org/a/b/r?x=1&y=2"), ("four", "https://h.org/a/s/t"), ("five", "https://h.org/a/b/c.html?z")]
