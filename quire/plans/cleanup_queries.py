@@ -189,10 +189,11 @@ def joined(pattern: str) -> str:
 
 PICTURES, REFS = joined("!\\[[^\\]]*\\]\\([^)]*\\)"), joined("\\[\\^?[0-9]+\\]")
 
+# where a pattern looks at the character behind it, its SQL doubles the characters between words first: RE2 has no lookaround
 ORACLES = {
     "footnote_spacing": f"WITH {decorated_sql(*NOTES)} " + digest_sql("regexp_replace(line, '([A-Za-z][.,;!?]?)([0-9]{1,3})$', '\\1 \\2', 'g')"),
     "ingest_cleanup": f"WITH {decorated_sql(*GLUED)} " + digest_sql(f"regexp_replace(regexp_replace(regexp_replace(replace(line, chr(173), ''), '([a-z]{{3}})({T.REGNAL})\\b', '\\1 \\2', 'g'), '([a-z])(de|van|von|della)([A-Z])', '\\1 \\2 \\3', 'g'), '[ \\t]{{2,}}', ' ', 'g')"),
-    "artefact_repair": f"WITH {decorated_sql(*ARTEFACTS)} " + digest_sql("regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(line, '(^|[^\\pL''])([b-hj-z]) ([a-z]{3,})([^\\pL\\pN_]|$)', '\\1\\2\\3\\4', 'g'), '(^|[^\\pL''])([b-hj-z]) ([a-z]{3,})([^\\pL\\pN_]|$)', '\\1\\2\\3\\4', 'g'), '\\. y\\.(\\s|$)', '.\\1', 'g'), '(?m)^\\s*y\\.\\s*$', '', 'g'), '([A-Za-z])  +([A-Za-z])', '\\1 \\2', 'g'), '\\n{3,}', chr(10) || chr(10), 'g')"),
+    "artefact_repair": f"WITH {decorated_sql(*ARTEFACTS)} " + digest_sql("regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(line, '([^\\pL\\pN_''])', '\\1\\1', 'g'), '(^|[^\\pL''])([b-hj-z])  ([a-z]{3,})([^\\pL\\pN_]|$)', '\\1\\2\\3\\4', 'g'), '([^\\pL\\pN_''])[^\\pL\\pN_'']', '\\1', 'g'), '\\. y\\.(\\s|$)', '.\\1', 'g'), '(?m)^\\s*y\\.\\s*$', '', 'g'), '([A-Za-z])  +([A-Za-z])', '\\1 \\2', 'g'), '\\n{3,}', chr(10) || chr(10), 'g')"),
     "single_heading": f"WITH {decorated_sql(*HEADINGS)}, k AS (SELECT doc_id, string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE NOT regexp_matches(line, '^#[ \\t]')) AS t FROM d GROUP BY 1) SELECT doc_id, md5('# Title ' || doc_id || chr(10) || chr(10) || regexp_replace(coalesce(t, ''), '^\\n+', '')) AS digest FROM k",
     "repeated_headings": f"""WITH {decorated_sql(*SAME)}, {TEXTS}, x AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS pos FROM t), s AS (SELECT *, lower({ST.format('line')}) AS s FROM x),
  n AS (SELECT doc_id, pos, lag(s) OVER (PARTITION BY doc_id ORDER BY pos) = s AND regexp_matches(s, '^#{{1,6}} ') AS again FROM s WHERE s <> ''), k AS (SELECT s.doc_id, string_agg(line, chr(10) ORDER BY s.pos) AS t FROM s LEFT JOIN n ON n.doc_id = s.doc_id AND n.pos = s.pos WHERE NOT coalesce(again, false) GROUP BY 1)
