@@ -118,7 +118,7 @@ def chapter_line_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def input_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    made = docs(spark, sf_dir).select("doc_id", F.when(F.col("doc_id") % 3 == 0, "book").when(F.col("doc_id") % 3 == 1, "magazine").otherwise("auto").alias("profile"), (F.col("doc_id") % 2000).alias("pages"), (F.length("text") * 40000).cast("long").alias("bytes"), F.length("text").alias("chars"), (F.col("doc_id") % 900).alias("images"))
+    made = docs(spark, sf_dir).select("doc_id", F.when(F.col("doc_id") % 3 == 0, "book").when(F.col("doc_id") % 3 == 1, "magazine").otherwise("auto").alias("profile"), (F.col("doc_id") % 2000).alias("pages"), (F.length("text").cast("long") * 40000).alias("bytes"), F.length("text").alias("chars"), (F.col("doc_id") % 900).alias("images"))
     return S.input_gate(made).select("doc_id", F.coalesce("gate_reason", F.lit("ok")).alias("gate"), "gate_ok", "warn")
 
 
