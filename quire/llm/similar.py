@@ -39,6 +39,8 @@ BINS = 256
 BLOCK = 128
 #: Members of a key that one task holds; larger keys are dealt in blocks of this many.
 MEMBERS = 4096
+#: Marks that a member carries, its least ones, so that a pair is made once and not under every key that it shares.
+MARKS = 32
 
 
 def shingle_set(text: str | None, n_words: int) -> np.ndarray:
@@ -176,14 +178,40 @@ def _pruned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield batch.select(["a", "b"]).filter(pa.array(_possible(*one, *two)))
 
 
+def marked(rows: DataFrame) -> DataFrame:
+    """Members (mark, node and more) with low: the `MARKS` least marks of the node."""
+    low = staged(rows.groupBy("node").agg(F.slice(F.sort_array(F.collect_set("mark")), 1, MARKS).alias("low")), "low")
+    return rows.join(low.hint("merge"), "node")
+
+
+def _below(column: pa.Array, mark: int) -> np.ndarray:
+    """A row of `MARKS` for each list: its marks below `mark`, else -1."""
+    out = np.full((len(column), MARKS), -1, np.int64)
+    lengths = column.value_lengths().to_numpy()
+    out[np.arange(MARKS) < lengths[:, None]] = column.flatten().to_numpy()
+    out[out >= mark] = -1
+    return out
+
+
+def _earlier(low: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Which pairs (x, y) of rows have a mark in common."""
+    out = np.zeros(len(x), bool)
+    for s in range(0, len(x), 4096):
+        a, b = low[x[s : s + 4096]], low[y[s : s + 4096]]
+        out[s : s + 4096] = ((a[:, :, None] == b[:, None, :]) & (a[:, :, None] >= 0)).any(axis=(1, 2))
+    return out
+
+
 def _across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Streams members sorted by mark and pair of blocks (i, j): possible pairs of members of different parts; where i and j
-    differ, of different blocks."""
+    differ, of different blocks. Where members have their least marks (`low`), a pair is left to a lesser mark that both
+    have: the least mark that two members share always makes their pair."""
     held: list[pa.RecordBatch] = []
 
     def finish() -> Iterator[pa.RecordBatch]:
         rows = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
         node, part, n, block = (rows[c].to_numpy() for c in ("node", "part", "n", "block"))
+        low = _below(rows["low"], rows["mark"][0].as_py()) if "low" in rows.schema.names else None
         bins, mixed = _bins(rows["bins"]), rows["i"][0].as_py() != rows["j"][0].as_py()
         for at in range(0, len(node), BLOCK):
             for to in range(at, len(node), BLOCK):
@@ -195,6 +223,9 @@ def _across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     apart = np.triu(apart, 1)
                 if apart.any():
                     x, y = np.nonzero(apart & _possible(n[i, None], bins[i, None], n[None, j], bins[None, j]))
+                    if low is not None:
+                        first = ~_earlier(low, x + at, y + to)
+                        x, y = x[first], y[first]
                     a, b = node[i][x], node[j][y]
                     yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
 
@@ -219,7 +250,7 @@ def dealt(rows: DataFrame, most: int) -> DataFrame:
     blocks = staged(rows.groupBy("mark").agg(F.ceil(F.count("*") / F.lit(most)).cast("int").alias("n_blocks")), "blocks")
     rows = rows.join(blocks.hint("merge"), "mark").withColumn("block", F.pmod(F.xxhash64("node"), F.col("n_blocks")).cast("int"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1)))
-    return rows.select("mark", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "node", "part", "n", "bins")
+    return rows.select("mark", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "node", "part", "n", "bins", *({"low"} & {*rows.columns}))
 
 
 def _confirmed(pairs: DataFrame, docs: DataFrame, firsts: DataFrame, n_words: int) -> DataFrame:
@@ -261,7 +292,8 @@ def grouped(docs: DataFrame, keep: tuple[str, ...], n_words: int) -> DataFrame:
     members = staged(members, "members")
     several = staged(members.groupBy("mark").agg(F.min("part").alias("least"), F.max("part").alias("most")).where("least < most").select("mark"), "several")
     if not several.isEmpty():
-        rest = staged(members.join(several.hint("merge"), "mark").join(nodes.hint("merge"), "fp").select("mark", F.col("fp").alias("node"), "part", "n", "bins"), "rest")
+        shared = staged(members.join(several.hint("merge"), "mark").select("mark", F.col("fp").alias("node"), "part"), "shared")
+        rest = staged(marked(shared).join(nodes.withColumnRenamed("fp", "node").hint("merge"), "node").select("mark", "node", "part", "n", "bins", "low"), "rest")
         keys = ["mark", "i", "j"]
         more = staged(dealt(rest, MEMBERS).repartition(*keys).sortWithinPartitions(*keys).mapInArrow(_across, "a long, b long").distinct(), "pairs")
         edges = edges.unionAll(_confirmed(more, docs, firsts, n_words))

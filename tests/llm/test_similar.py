@@ -75,3 +75,32 @@ def test_large_keys_in_blocks_lose_no_pair(spark):
         pairs = similar.dealt(df, most).repartition(*keys).sortWithinPartitions(*keys).mapInArrow(similar._across, "a long, b long")
         found.append([tuple(r) for r in pairs.collect()])
     assert set(found[0]) == set(found[1]) and len(found[0]) == len(set(found[0])) > 20
+
+
+def test_a_pair_is_made_under_one_of_its_keys_only(spark):
+    """Copies of one text share many keys; before, each key made all their pairs again."""
+    rng = random.Random(5)
+    base = [f"w{k}" for k in range(60)]
+    sets = [similar.shingle_set(" ".join(base + [f"x{rng.randrange(30)}" for _ in range(rng.randrange(1, 9))]), 5) for _ in range(23)]
+    marks = [(mark, [k for k in range(23) if rng.random() < 0.6]) for mark in rng.sample(range(1, 1 << 40), 30)]
+    rows = [(mark, similar.node_of(sets[k]), k, len(sets[k]), similar.bins_of(sets[k])) for mark, of in marks for k in of]
+    df = spark.createDataFrame(rows, "mark long, node long, part long, n long, bins binary")
+    keys, found = ["mark", "i", "j"], []
+    for members, most in ((df, 100), (similar.marked(df), 100), (similar.marked(df), 5)):
+        pairs = similar.dealt(members, most).repartition(*keys).sortWithinPartitions(*keys).mapInArrow(similar._across, "a long, b long")
+        found.append([tuple(r) for r in pairs.collect()])
+    assert len(found[0]) > 5 * len(set(found[0])) > 100
+    assert all(set(f) == set(found[0]) and len(f) == len(set(f)) for f in found[1:])
+
+
+def test_more_keys_than_a_member_carries_lose_no_pair():
+    """The rule by itself, with members of up to three times as many marks as they carry."""
+    rng = np.random.default_rng(2)
+    of = [np.sort(rng.choice(400, rng.integers(1, 3 * similar.MARKS), replace=False)) for _ in range(40)]
+    low = similar.pa.array([m[: similar.MARKS].tolist() for m in of], similar.pa.list_(similar.pa.int64()))
+    x, y = np.triu_indices(40, 1)
+    made = np.zeros(len(x), np.int64)
+    for mark in range(400):
+        both = np.array([mark in of[a] and mark in of[b] for a, b in zip(x, y, strict=True)])
+        made += both & ~similar._earlier(similar._below(low, mark), x, y)
+    assert all((made[k] > 0) == bool(len(np.intersect1d(of[a], of[b]))) for k, (a, b) in enumerate(zip(x, y, strict=True)))
