@@ -36,8 +36,9 @@ def language_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def near_duplicate_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group that pairs of similarity 0.8 or more link, that of the least doc_id (null ids last; ties: the
-    least hash of the text; of rows equal in both, the one whose other columns are least). Texts without words are one group."""
+    """One document of each group that pairs of similarity 0.8 or more link: the SimHash links of `op2_simhash`, each confirmed on
+    the whole texts' shingles, and by an exact way those that fingerprints miss. That of the least doc_id stays (null ids last;
+    ties: the least hash of the text; of rows equal in both, the one whose other columns are least). Texts without words are one group."""
     return simhash.one_of_each(docs, lambda keyed, keep: similar.grouped(keyed, keep, SHINGLE))
 
 

@@ -132,19 +132,24 @@ def chain_holds(x: np.ndarray, first: int) -> np.ndarray:
     return ok
 
 
-def stars(fps: np.ndarray, first: int) -> list[tuple[int, int]]:
-    """(least member, member) of each connected part of the graph that one key's chain finds."""
+def stars(fps: np.ndarray, first: int, direct: bool = False) -> list[tuple[int, int]]:
+    """(least member, member) of each connected part of the graph that one key's chain finds; with `direct`, as many pairs
+    (member, member reached from it), each within 3 bits."""
     rest, out = fps.view(np.uint64), []
     while len(rest) > 1:
-        part, frontier, rest = [int(rest[0])], [rest[0]], rest[1:]
+        part, tree, frontier, rest = [int(rest[0])], [], [rest[0]], rest[1:]
         while frontier and len(rest):
-            hit = chain_holds(rest ^ frontier.pop(), first)
+            at = frontier.pop()
+            hit = chain_holds(rest ^ at, first)
             if hit.any():
                 new = rest[hit]
                 rest = rest[~hit]
                 frontier.extend(new)
                 part.extend(map(int, new))
-        if len(part) > 1:
+                tree.extend((at, x) for x in new)
+        if direct:
+            out.extend(map(tuple, np.array(tree, np.uint64).reshape(-1, 2).view(np.int64).tolist()))
+        elif len(part) > 1:
             part = np.array(part, np.uint64).view(np.int64)
             low = int(part.min())
             out.extend((low, int(x)) for x in part if x != low)
@@ -155,7 +160,7 @@ def stars(fps: np.ndarray, first: int) -> list[tuple[int, int]]:
 _EDGES = "a long, b long, key long"
 
 
-def _runs(most: int) -> object:
+def _runs(most: int, direct: bool = False) -> object:
     """Streams (key, fp) sorted by key: the edges of each key, or its members if they are more than `most`."""
     chains = _chains()
 
@@ -171,7 +176,7 @@ def _runs(most: int) -> object:
                 return []
             fps = np.unique(np.concatenate(held))
             family, chain = divmod(held_key[0] >> 32, len(chains))
-            return [(a, b, family) for a, b in stars(fps, chains[chain][0])]
+            return [(a, b, family) for a, b in stars(fps, chains[chain][0], direct)]
 
         for batch in batches:
             names = [c for c in batch.schema.names if c != "fp"]
@@ -206,18 +211,18 @@ def _runs(most: int) -> object:
     return run
 
 
-def links(fps: DataFrame, bucket: int = BUCKET) -> DataFrame:
+def links(fps: DataFrame, bucket: int = BUCKET, direct: bool = False) -> DataFrame:
     """Edges (a, b, family) that connect all distinct fingerprints (fp, in families if there is such a column)
-    within 3 bits of each other, transitively."""
+    within 3 bits of each other, transitively; with `direct`, each edge is itself within 3 bits."""
     family = F.col("family") if "family" in fps.columns else F.lit(0)
     keyed = fps.select("fp", family.alias("family")).select("fp", F.explode(_keys()).alias("key"))
-    found = staged(keyed.repartition("key").sortWithinPartitions("key").mapInArrow(_runs(bucket), _EDGES), "links")
+    found = staged(keyed.repartition("key").sortWithinPartitions("key").mapInArrow(_runs(bucket, direct), _EDGES), "links")
     edges, members = found.where("b is not null"), found.where("b is null").select("key", F.col("a").alias("fp"))
     if not members.isEmpty():
         blocks = members.groupBy("key").agg(F.ceil(F.count("*") * 2 / F.lit(bucket)).cast("int").alias("n"))
         dealt = members.join(blocks, "key").withColumn("block", F.pmod(F.xxhash64("fp"), F.col("n")).cast("int"))
         dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n") - 1))).select("key", F.least("block", "other").cast("long").alias("i"), F.greatest("block", "other").cast("long").alias("j"), "fp")
-        edges = edges.unionAll(dealt.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(_runs(1 << 30), _EDGES))
+        edges = edges.unionAll(dealt.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(_runs(1 << 30, direct), _EDGES))
     return edges.select("a", "b", F.col("key").alias("family"))
 
 

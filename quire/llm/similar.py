@@ -1,5 +1,10 @@
-"""All pairs of documents whose five-word shingle sets have a Jaccard similarity of 0.8 or more, by pigeonring
-filtering of the sets, and the groups that such pairs link.
+"""Near-duplicates by SimHash with an exact check, and the groups that they link: all pairs of documents whose five-word
+shingle sets have a Jaccard similarity of 0.8 or more.
+
+First come the pairs that `op2_simhash` links: fingerprints of three-word shingles within 3 of 64 bits, found by
+pigeonring filtering (`simhash.links`; of equal fingerprints each with the least node, of linked ones the least nodes of
+both). They are confirmed on the whole sets. SimHash misses many pairs near 0.8, so an exact way finds the
+rest: pigeonring filtering of the sets between the groups that SimHash has found.
 
 Shingles are those of `simhash`; a set holds each once (as XXH64, seed 42), a blank text has none. Sets x and y
 are similar if 9 |x & y| >= 4 (|x| + |y|), so they differ in at most (|x| + |y|) / 9 shingles, and neither is more than a
@@ -10,8 +15,8 @@ Each set leaves out its m - tau - 1 lightest parts (fewest shingles, then least
 all sets), so one equal part stays in both: every similar pair shares a key. Nothing is sampled or capped, and
 the keys of a set are about half as many as its shingles.
 
-Candidates are confirmed by comparing the whole sets. Under a key, first all members are compared with its least;
-then, where a key's members are still in several groups, all its pairs across groups that pass exact lower
+Candidates are confirmed by comparing the whole sets. Under a key, first all members of other groups are compared with its
+least; then, where a key's members are still in several groups, all its pairs across groups that pass exact lower
 bounds on the difference (sizes, and counts of shingles in `BINS` bins). Keys with more than `MEMBERS` members are dealt
 in pairs of blocks over many tasks, so that no task holds more than two blocks. Equal sets are one node.
 
@@ -32,7 +37,7 @@ from pyspark.sql import functions as F
 
 from quire.llm.common import small_batches, staged
 from quire.llm.components import components
-from quire.llm.simhash import remixed, shingle_hashes
+from quire.llm.simhash import fingerprint, links, remixed, shingle_hashes
 
 BINS = 256
 #: Members of a large key that are compared with all others in one go (BLOCK * BLOCK * BINS differences at once).
@@ -95,16 +100,18 @@ def similar(x: np.ndarray, y: np.ndarray) -> bool:
 
 
 def _nodes(docs: DataFrame, keep: tuple[str, ...], n_words: int) -> DataFrame:
-    """The columns in `keep`, fp (the node), n (shingles) and bins. Row by row."""
+    """The columns in `keep`, fp (the node), n (shingles), bins and print (the SimHash fingerprint as a signed long). Row by
+    row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sets = [shingle_set(t.as_py(), n_words) for t in batch["text"]]
             made = [pa.array([node_of(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array([bins_of(s) for s in sets], pa.binary())]
-            yield pa.RecordBatch.from_arrays([*(batch[c] for c in keep), *made], names=[*keep, "fp", "n", "bins"])
+            prints = np.array([fingerprint(t.as_py())[0] for t in batch["text"]], np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([*(batch[c] for c in keep), *made, pa.array(prints)], names=[*keep, "fp", "n", "bins", "print"])
 
     kinds = [f"`{c}` {t}" for c, t in docs.select(*keep).dtypes]
-    return docs.select(*{*keep, "text"}).mapInArrow(run, ", ".join([*kinds, "fp long, n long, bins binary"]))
+    return docs.select(*{*keep, "text"}).mapInArrow(run, ", ".join([*kinds, "fp long, n long, bins binary, print long"]))
 
 
 def _keyed(docs: DataFrame, n_words: int) -> DataFrame:
@@ -253,6 +260,16 @@ def dealt(rows: DataFrame, most: int) -> DataFrame:
     return rows.select("mark", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "node", "part", "n", "bins", *({"low"} & {*rows.columns}))
 
 
+def by_fingerprint(nodes: DataFrame) -> DataFrame:
+    """Pairs (a, b) of nodes (fp, print) that SimHash links: each with the least of equal print, and the least of two prints within
+    3 bits. They grow with the nodes, not with the square of a group."""
+    least = staged(nodes.groupBy("print").agg(F.min("fp").alias("least")), "least")
+    equal = nodes.select("fp", "print").join(least.hint("merge"), "print").where("least <> fp").select(F.col("least").alias("a"), F.col("fp").alias("b"))
+    near = staged(links(least.select(F.col("print").alias("fp")), direct=True).select(F.least("a", "b").alias("pa"), F.greatest("a", "b").alias("pb")).distinct(), "near")
+    side = lambda s: least.select(F.col("print").alias(f"p{s}"), F.col("least").alias(s)).hint("merge")
+    return equal.unionAll(near.join(side("a"), "pa").join(side("b"), "pb").select("a", "b"))
+
+
 def _confirmed(pairs: DataFrame, docs: DataFrame, firsts: DataFrame, n_words: int) -> DataFrame:
     """Pairs (a, b) of nodes whose sets are similar. firsts: fp and the doc_id and text hash of one of its rows."""
     need = staged(pairs.select(F.explode(F.array("a", "b")).alias("fp")).distinct(), "need")
@@ -279,13 +296,20 @@ def grouped(docs: DataFrame, keep: tuple[str, ...], n_words: int) -> DataFrame:
     the text's hash."""
     small_batches(docs.sparkSession)
     prints = staged(_nodes(docs, keep, n_words), "nodes")
-    firsts = staged(prints.groupBy("fp").agg(F.min(F.struct(F.col("doc_id").alias("d"), F.col("_text").alias("t"))).alias("first"), F.min("n").alias("n"), F.min("bins").alias("bins")), "firsts")
-    nodes = firsts.select("fp", "n", "bins")
+    firsts = staged(prints.groupBy("fp").agg(F.min(F.struct(F.col("doc_id").alias("d"), F.col("_text").alias("t"))).alias("first"), F.min("n").alias("n"), F.min("bins").alias("bins"), F.min("print").alias("print")), "firsts")
+    sized = firsts.select("fp", "n", "bins")
+    linked = by_fingerprint(firsts)
+    side = lambda s: sized.select(*(F.col(c).alias(x) for c, x in (("fp", s), ("n", f"n{s}"), ("bins", f"bins{s}")))).hint("merge")
+    linked = linked.join(side("a"), "a").join(side("b"), "b").mapInArrow(_pruned, "a long, b long")
+    edges = _confirmed(staged(linked, "linked"), docs, firsts, n_words)
+    parts = staged(components(edges), "parts")
+
+    nodes = staged(sized.join(parts.withColumnRenamed("node", "fp").hint("merge"), "fp", "left").select("fp", "n", "bins", F.coalesce("component", "fp").alias("part")), "nodes")
     found = staged(_keyed(docs, n_words).repartition("key").sortWithinPartitions("key").mapInArrow(_members, "mark long, a long, b long").distinct(), "members")
 
-    side = lambda s: nodes.select(F.col("fp").alias(s), F.col("n").alias(f"n{s}"), F.col("bins").alias(f"bins{s}")).hint("merge")
-    pairs = found.where("mark = 0").select("a", "b").join(side("a"), "a").join(side("b"), "b").select("a", "b", "na", "nb", "binsa", "binsb")
-    edges = _confirmed(staged(pairs.mapInArrow(_pruned, "a long, b long"), "pairs"), docs, firsts, n_words)
+    side = lambda s: nodes.select(*(F.col(c).alias(x) for c, x in (("fp", s), ("n", f"n{s}"), ("bins", f"bins{s}"), ("part", f"part{s}")))).hint("merge")
+    pairs = found.where("mark = 0").select("a", "b").join(side("a"), "a").join(side("b"), "b").where("parta <> partb").select("a", "b", "na", "nb", "binsa", "binsb")
+    edges = edges.unionAll(_confirmed(staged(pairs.mapInArrow(_pruned, "a long, b long"), "pairs"), docs, firsts, n_words))
     parts = staged(components(edges), "parts")
 
     members = found.where("mark <> 0").select("mark", F.col("b").alias("fp")).join(parts.withColumnRenamed("node", "fp").hint("merge"), "fp", "left").select("mark", "fp", F.coalesce("component", "fp").alias("part"))
@@ -293,7 +317,7 @@ def grouped(docs: DataFrame, keep: tuple[str, ...], n_words: int) -> DataFrame:
     several = staged(members.groupBy("mark").agg(F.min("part").alias("least"), F.max("part").alias("most")).where("least < most").select("mark"), "several")
     if not several.isEmpty():
         shared = staged(members.join(several.hint("merge"), "mark").select("mark", F.col("fp").alias("node"), "part"), "shared")
-        rest = staged(marked(shared).join(nodes.withColumnRenamed("fp", "node").hint("merge"), "node").select("mark", "node", "part", "n", "bins", "low"), "rest")
+        rest = staged(marked(shared).join(sized.withColumnRenamed("fp", "node").hint("merge"), "node").select("mark", "node", "part", "n", "bins", "low"), "rest")
         keys = ["mark", "i", "j"]
         more = staged(dealt(rest, MEMBERS).repartition(*keys).sortWithinPartitions(*keys).mapInArrow(_across, "a long, b long").distinct(), "pairs")
         edges = edges.unionAll(_confirmed(more, docs, firsts, n_words))

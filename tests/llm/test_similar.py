@@ -7,7 +7,7 @@ import pytest
 
 pytest.importorskip("corpus_pipeline")
 import corpus_pipeline  # noqa: E402
-from quire.llm import similar  # noqa: E402
+from quire.llm import similar, simhash  # noqa: E402
 
 
 def corpus():
@@ -104,3 +104,29 @@ def test_more_keys_than_a_member_carries_lose_no_pair():
         both = np.array([mark in of[a] and mark in of[b] for a, b in zip(x, y, strict=True)])
         made += both & ~similar._earlier(similar._below(low, mark), x, y)
     assert all((made[k] > 0) == bool(len(np.intersect1d(of[a], of[b]))) for k, (a, b) in enumerate(zip(x, y, strict=True)))
+
+
+def test_simhash_links_near_copies_by_itself(spark, monkeypatch):
+    """The stage's method is SimHash: without the exact way for what fingerprints miss, copies are still found."""
+    monkeypatch.setattr(similar, "_keyed", lambda docs, n_words: docs.sparkSession.createDataFrame([], "fp long, key long"))
+    rng = random.Random(7)
+    texts = []
+    for _ in range(6):
+        base = [f"w{rng.randrange(4000)}" for _ in range(1500)]
+        texts += [" ".join(base), " ".join([*base[:700], "changed", *base[701:]]), " ".join([*base[:100], "other", *base[101:]])]
+    texts += [texts[0].upper(), texts[0] + " \n"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    kept = sorted(r.doc_id for r in corpus_pipeline.near_duplicate_filter(spark, docs, "").collect())
+    assert set(range(0, 18, 3)) <= set(kept) and len(kept) <= 8
+
+
+def test_direct_links_are_within_three_bits_and_connect_the_same():
+    rng = np.random.default_rng(4)
+    fps = [np.uint64(rng.integers(1 << 63))]
+    for _ in range(60):
+        fps.append(fps[rng.integers(len(fps))] ^ np.uint64(1 << int(rng.integers(64))))
+    fps = np.unique(np.array(fps, np.uint64)).view(np.int64)
+    for first in range(simhash.SEGMENTS):
+        star, tree = simhash.stars(fps, first), simhash.stars(fps, first, direct=True)
+        assert len(star) == len(tree) and {x for e in star for x in e} == {x for e in tree for x in e}
+        assert all((a ^ b) & (1 << 64) - 1 and ((a ^ b) & (1 << 64) - 1).bit_count() <= 3 for a, b in tree)
