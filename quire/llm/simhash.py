@@ -146,7 +146,8 @@ def stars(fps: np.ndarray, first: int, direct: bool = False) -> list[tuple[int,
                 rest = rest[~hit]
                 frontier.extend(new)
                 part.extend(map(int, new))
-                tree.extend((at, x) for x in new)
+                if direct:
+                    tree.extend((at, x) for x in new)
         if direct:
             out.extend(map(tuple, np.array(tree, np.uint64).reshape(-1, 2).view(np.int64).tolist()))
         elif len(part) > 1:
